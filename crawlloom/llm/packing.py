@@ -15,7 +15,6 @@ and the table of offsets has a row for each range and each queue in it, ranges +
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
@@ -37,7 +36,7 @@ MAX_QUEUES = 4096
 #: Documents longer than this are kept as several rows of ids.
 PIECE_IDS = 1 << 20
 
-OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, window_id long"
+OUT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue string, window_id long, ids binary"
 
 
 class Schedule:
@@ -116,7 +115,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, n_queues_at_most: int
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequence: int = SEQUENCE, window: int = WINDOW, weights: dict[str, float] | None = None, name: str = "packing", **columns: str) -> DataFrame:
-    """One row for each piece of a document; see OUT.
+    """One row for each piece of a document; see OUT. ids: the piece's, as little-endian unsigned 32-bit integers.
 
     A null or empty text is just end_id; a null source is a queue of its own, named ''. Repeated rows are packed as
     often as they come, in the order of their texts. An empty table gives no rows. sequence_id and offset are gapless.
@@ -149,10 +148,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequenc
                     pos = now[3] + at + i - now[2]
                     size = min(len(ids) - i, plan.sent(q, now[1] + 1) - at - i, sequence - pos % sequence)
                     piece = ids[i : i + size]
-                    out.append((doc, first + i, size, zlib.crc32(piece.tobytes()), n, pos // sequence, pos % sequence, queue, now[1]))
+                    out.append((doc, first + i, size, n, pos // sequence, pos % sequence, queue, now[1], piece.tobytes()))
                     i += size
-            kinds = [pa.int64()] * 7 + [pa.string(), pa.int64()]
+            kinds = [pa.int64()] * 6 + [pa.string(), pa.int64(), pa.binary()]
             cols = list(zip(*out, strict=True)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "window_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "queue", "window_id", "ids"])
 
     return tokens.mapInArrow(run, OUT)
