@@ -2,8 +2,8 @@
 
 The join walks pairs of trie nodes at once, adds up the bits in which their paths differ, and drops a pair as soon as
 it has more than the allowed number. The top of the trie is cut, from a histogram over the first 16 bits, into nodes of
-a bounded number of fingerprints; the driver walks pairs of those nodes, and each pair that survives is a group of its
-own for the executors, which go on with the same walk, level by level on arrays. From a pair of nodes only a spanning
+a bounded number of fingerprints; the driver walks pairs of those nodes, and each pair that survives is one row for the
+executors, the fingerprints of both nodes, which go on with the same walk, level by level on arrays. From a pair of nodes only a spanning
 forest of the links comes back (equal classes, fewer rows), so a cluster of n texts costs n rows and not n squared. The
 classes are the connected components of these forests.
 """
@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +21,15 @@ from pyspark.sql import functions as F
 from .common import Workspace, components
 
 #: Distinct fingerprints that a node at the cut should hold at most.
-NODE_KEYS = 8192
+NODE_KEYS = 4096
+#: Nodes at the cut, about; beyond NODE_KEYS times this many fingerprints the nodes grow, so that the driver's list of pairs doesn't.
+MOST_NODES = 4096
 #: Bits of the histogram that the cut is made from; 2**16 counts come to the driver at most.
 CUT_BITS = 16
 #: Node pairs whose fingerprints are compared one by one rather than going deeper.
 LEAF_PAIRS = 24
 #: Pairs of nodes that are walked at once.
 FRONT = 1 << 18
-#: Node pairs whose table is broadcast; a larger one is joined by Spark.
-MOST_BROADCAST = 1 << 19
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -105,16 +104,15 @@ def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int
     return out
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Join the links a-b into the classes of root (each node's least member so far). Gives the new root, and the
-    (node, parent) pairs that changed."""
-    before = root.copy()
+def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Join the links a-b into the classes of root, each node's least member so far; gives the new root."""
+    root = root.copy()
     while True:
         ra, rb = root[a], root[b]
         lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
         live = lo < hi
         if not live.any():
-            break
+            return root
         a, b = a[live], b[live]
         np.minimum.at(root, hi[live], lo[live])
         while True:
@@ -122,7 +120,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.n
             if (up == root).all():
                 break
             root = up
-    return root, np.flatnonzero(before != root)
 
 
 def links(left: np.ndarray, right: np.ndarray, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -177,40 +174,40 @@ def linked(fps: DataFrame, ws: Workspace, budget: int = 4) -> DataFrame:
     spark = fps.sparkSession
     top = F.shiftrightunsigned("fp", 64 - CUT_BITS).cast("int")
     counts = {r["top"]: r["n"] for r in fps.groupBy(top.alias("top")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 2**16 rows at most
-    nodes = cut(counts, NODE_KEYS)
-    pairs = node_pairs(nodes, budget)
-    node_of = {}  # by the path at depth CUT_BITS; as many entries as counts
-    spans = sorted((p << (CUT_BITS - d), k) for k, (d, p) in enumerate(nodes))
-    starts = np.array([s for s, _ in spans])
-    for path in counts:
-        node_of[path] = spans[int(np.searchsorted(starts, path, "right")) - 1][1]
-    sides: dict[int, list[tuple[int, int]]] = {}
-    for k, (i, j) in enumerate(pairs):
-        sides.setdefault(i, []).append((k, 0))
-        if i != j:
-            sides.setdefault(j, []).append((k, 1))
-    of_path = spark.createDataFrame(list(node_of.items()) or [(0, 0)], "top int, node int")  # 2**16 rows at most
-    own = spark.createDataFrame([(n, [2 * k + s for k, s in x]) for n, x in sides.items()] or [(0, [0])], "node int, tasks array<long>")
-    if 2 * len(pairs) <= MOST_BROADCAST:
-        own = F.broadcast(own)
-    dealt = fps.withColumn("top", top).join(F.broadcast(of_path), "top").join(own, "node").select("fp", F.explode("tasks").alias("task"))
-    same = {k for k, (i, j) in enumerate(pairs) if i == j}
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        side = pdf["task"].to_numpy(np.int64) & 1
-        left, right = np.sort(keys[side == 0]), np.sort(keys[side == 1])
-        if int(key[0]) in same:
-            right = left
-        every = left if right is left else np.concatenate([left, right])
-        shift = 0 if right is left else len(left)
-        root, held = np.arange(len(every)), np.zeros(0, np.int64)
-        for i, j in links(left, right, budget, right is left):
-            root, _ = forest(len(every), i, j + shift, root)
-        held = np.flatnonzero(root != np.arange(len(every)))
-        return pd.DataFrame({"a": every[root[held]].view(np.int64), "b": every[held].view(np.int64)})
-
-    return dealt.groupBy(F.shiftright("task", 1).alias("pair")).applyInPandas(run, "a long, b long")
+    most = max(NODE_KEYS, sum(counts.values()) // MOST_NODES)
+    nodes = cut(counts, most)
+    spans = sorted((p << (CUT_BITS - d), d, p) for d, p in nodes)
+    starts, sizes = np.array([x[0] for x in spans]), [0] * len(spans)
+    node_of = {path: int(np.searchsorted(starts, path, "right")) - 1 for path in counts}
+    for path, node in node_of.items():
+        sizes[node] += counts[path]
+    parts = [-(-n // most) for n in sizes]  # a node at the cut's last level may hold more than one block
+    first = (np.cumsum(parts) - parts).tolist()
+    tasks = []
+    for i, j in node_pairs([x[1:] for x in spans], budget):
+        own = [(first[i] + x, first[j] + y) for x in range(parts[i]) for y in range(parts[j])]
+        tasks += [x for x in own if i != j or x[0] <= x[1]]
+    where = spark.createDataFrame([(path, first[n], parts[n]) for path, n in node_of.items()] or [(0, 0, 1)], "top int, first long, parts long")  # 2**16 rows at most
+    pairs = spark.createDataFrame(tasks or [(0, 0)], "left long, right long")
+    block = (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("block")
+    blocks = fps.withColumn("top", top).join(F.broadcast(where), "top").select(block, "fp").groupBy("block").agg(F.collect_list("fp").alias("keys"))
+    blocks = ws.save(blocks, "blocks")  # `most` fingerprints or so in each
+    dealt = pairs.join(blocks.select(F.col("block").alias("left"), F.col("keys").alias("left_keys")), "left")
+    dealt = dealt.join(blocks.select(F.col("block").alias("right"), F.col("keys").alias("right_keys")), "right")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same = batch.column("left")[k].as_py() == batch.column("right")[k].as_py()
+                left, right = (np.sort(batch.column(c)[k].values.to_numpy().view(np.uint64)) for c in ("left_keys", "right_keys"))
+                every, shift = (left, 0) if same else (np.concatenate([left, right]), len(left))
+                root = np.arange(len(every))
+                for i, j in links(left, right, budget, same):
+                    root = forest(i, j + shift, root)
+                held = np.flatnonzero(root != np.arange(len(every)))
+                yield pa.RecordBatch.from_arrays([pa.array(every[root[held]].view(np.int64)), pa.array(every[held].view(np.int64))], names=["a", "b"])
+
+    return dealt.select("left", "right", "left_keys", "right_keys").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, name: str = "simhash", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
