@@ -1,8 +1,8 @@
 """Exact dedup by a keyed streaming state that lives on disk and never expires.
 
 The texts' digests run as a stream into an aggregation whose state, one row for each digest, is held by RocksDB and
-checkpointed to the shared folder: digest -> stable identifier of the row that stays, the locator of its content and
-the size of the group. Spark sums up each task's rows before they are dealt by digest, so a text that a third of the
+checkpointed to the shared folder: digest -> stable identifier of the row that stays, its content's length (with digest
+and identifier the locator by which the content is fetched from the table) and the size of the group. Spark sums up each task's rows before they are dealt by digest, so a text that a third of the
 rows hold costs one row a task. The state's changes are written batch by batch under the batch's number; a batch that
 is run again after a failure overwrites its own files. Rows whose digest had a hit are then compared with the kept
 content byte by byte; texts that share a digest but differ (a collision) are grouped anew by their whole bytes.
@@ -48,23 +48,24 @@ class ExactDedup:
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
             "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's logs take up disk ahead of need
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
             "spark.sql.session.timeZone": "UTC",
         }.items():
             session.conf.set(key, value)
         rows = session.readStream.schema("id long, digest string, n_bytes long").option("maxFilesPerTrigger", self.files).parquet(self.ws.at("spool"))
-        content = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("rank"), "id", "n_bytes")
-        state = rows.groupBy("digest").agg(F.max(content).alias("kept"), F.count(F.lit(1)).alias("group_size"))
+        state = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.max("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("group_size"))
         log = self.ws.at("changes")
 
         def put(batch: DataFrame, number: int) -> None:
-            batch.select("digest", F.col("kept.id").alias("keep_id"), "group_size").write.mode("overwrite").parquet(f"{log}/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
         query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", self.ws.at("stream")).trigger(availableNow=True).start()
         query.awaitTermination()
 
     def state(self) -> DataFrame:
         """(digest, keep_id, group_size) as the state holds them: a digest's last change, whose values only ever grow."""
-        changes = self.ws.spark.read.schema("digest string, keep_id long, group_size long, batch long").parquet(self.ws.at("changes"))
+        changes = self.ws.spark.read.schema("digest string, keep_id long, n_bytes long, group_size long, batch long").parquet(self.ws.at("changes"))
         return changes.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
 
 
