@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, suffix_dedup, tokenbin
+from . import decontam, exact_dedup, packing, quality, simhash, suffix_dedup, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.selected(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round(F.element_at("tails", 1), 6).alias("p_above_0"), F.round(F.element_at("tails", 2), 6).alias("p_above_1"), "selected")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -33,15 +38,21 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_orc(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_token_orc": op6_token_orc,
+    "op9_decontam": op9_decontam,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
