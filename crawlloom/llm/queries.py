@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, packing, quality, simhash, suffix_dedup, tokenbin
+from . import chat, decontam, exact_dedup, packing, quality, simhash, suffix_dedup, tokenbin, urlrules, warc
+from .common import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round(F.element_at("tails", 1), 6).alias("p_above_0"), F.round(F.element_at("tails", 2), 6).alias("p_above_1"), "selected")
 
 
+#: One record in so many of the audited replica has a byte changed before it is written.
+ROT = 97
+
+
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of all pages are written, one of them with changed bytes, and read back and audited. Every record
+    with its length, its digest in the sound replica, and whether the audit has found it damaged in the other."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    ws = Workspace(spark, "warc")
+    html = F.coalesce("html", F.lit(""))
+    rotten = F.when((F.pmod("page_id", F.lit(ROT)) == 0) & (F.ascii(html) < 128), F.overlay(html, F.lit("~"), F.lit(1), F.lit(1))).otherwise(html)
+    warc.write_warc(pages, ws.at("a"))
+    warc.write_warc(pages.withColumn("html", F.when(html == "", html).otherwise(rotten)), ws.at("b"))
+    ws.release()
+    left, right = (ws.save(warc.read_warc(spark, ws.at(x)), f"records-{x}") for x in "ab")
+    damage = warc.audit(left, right, ws).select("file", "offset", "status")
+    out = left.join(damage, ["file", "offset"], "left")
+    return out.select("page_id", F.col("length").alias("n_bytes"), F.col("sha256").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +59,27 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_orc(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+#: A conversation whose texts hold the template's own control strings, formatted beside those of the table.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    ws = Workspace(spark, "chat")
+    rows = ws.save(chat.render(chat.messages(chat.log_of(turns))), "formatted")
+    rows = rows.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("learnt", chat.masked(F.col("formatted"), F.col("loss")))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,14 +91,54 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
+    "op3_warc_audit": op3_warc_audit,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_token_orc": op6_token_orc,
+    "op7_url_rules": op7_url_rules,
+    "op8_chat": op8_chat,
     "op9_decontam": op9_decontam,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op3_warc_audit": """
+        WITH r AS (
+          SELECT page_id, coalesce(html, '') AS html,
+                 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                 || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+                 || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+                 || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g') || chr(13) || chr(10)
+                 || 'Content-Type: text/html' || chr(13) || chr(10)
+                 || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+                 || coalesce(html, '') AS record
+          FROM pages)
+        SELECT page_id, strlen(record) AS n_bytes, sha256(record) AS record_sha256,
+               CASE WHEN page_id % 97 = 0 AND html <> '' AND ascii(html) < 128 AND html[1] <> '~' THEN 'corrupt' ELSE 'intact' END AS status
+        FROM r""",
+    "op7_url_rules": r"""
+        WITH a AS (
+          SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (
+          SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                 translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+          FROM a),
+        rules(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        patterns(pattern, regex, verdict) AS (VALUES
+          ('||casino-', '^(?:[^/]*\.)?casino-', 'block'), ('||cheap-pills.', '^(?:[^/]*\.)?cheap-pills\.', 'block'),
+          ('||free-bets.', '^(?:[^/]*\.)?free-bets\.', 'block'), ('||ads-track.', '^(?:[^/]*\.)?ads-track\.', 'block'),
+          ('/adserver^', '/adserver(?:[^a-z0-9]|$)', 'block'), ('/banner*.html', '(?s)/banner.*\.html', 'block'),
+          ('||casino-law.', '^(?:[^/]*\.)?casino-law\.', 'allow'), ('^about^', '(?:[^a-z0-9])about(?:[^a-z0-9]|$)', 'allow')),
+        r AS (
+          SELECT p.page_id, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
+                 arg_max(rules.verdict, length(rules.host || rules.path)) AS verdict
+          FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path) GROUP BY 1),
+        q AS (
+          SELECT p.page_id, arg_min(pattern, verdict || pattern) AS pattern, min(verdict) AS verdict
+          FROM p JOIN patterns ON regexp_matches(p.host || p.path, regex) GROUP BY 1)
+        SELECT p.page_id, p.host, p.path, r.rule, CASE WHEN r.rule IS NULL THEN q.pattern END AS pattern,
+               coalesce(r.verdict, q.verdict, 'allow') AS verdict
+        FROM p LEFT JOIN r USING (page_id) LEFT JOIN q USING (page_id)""",
     "op10_exact_dedup": """
         WITH d AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
