@@ -10,9 +10,14 @@ at p + L), and lets go of positions whose name is unique, until the threshold is
   is least (leftmost of equal ones). Equal windows have equal anchors at equal places, so a window whose anchor's name
   is unique in the corpus is unique too. Windows that follow each other and share an anchor are one row (a run), about
   one for 70 bytes, and go on together;
-* the second round names whole runs: a run whose bytes occur again in full is repeated, all of it;
-* the last round, at length 200, is held for every window of the runs that share their anchor but not all their bytes,
-  and of one representative of each repeated run beside them.
+* the second round names whole runs: a run whose bytes occur again in full is repeated, all of it. Runs that share their
+  anchor but not all their bytes are cut, at fixed distances from the anchor, into blocks of GRID windows;
+* the third round names the bytes that all windows of a block share (unique: none of them is repeated) and those that
+  any of them covers (again in full: all of them are). Only blocks between the two go on;
+* the last round, at length 200, names each window of these.
+
+Beside the runs and blocks that go on, one representative of each repeated one goes on with them, as what they may be
+equal to.
 
 Rows leave as soon as their name is unique or they are past the threshold. Counts are summed up before they are dealt,
 and rows get their counts by joins that Spark can split, so a passage that a third of the documents hold makes no task
@@ -33,8 +38,13 @@ from .encode import _VALUES as BYTE_VALUES
 from .encode import Powers
 
 ANCHOR = 64
+#: Windows of a block in the third round.
+GRID = 16
 #: Bytes that are named at once; a longer text is cut into blocks that overlap by a window less a byte.
 BLOCK = 1 << 20
+#: Rows of a round: n windows from the byte a of a text, d their anchor's distance; m the name by which they are told
+#: unique, c that of all their bytes; w is 2 for one that is known to be repeated.
+ROWS = "doc_id long, tkey long, a long, n int, d int, m long, c long, w int"
 _PLACE = np.uint64(BLOCK - 1)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _powers = Powers()
@@ -97,13 +107,13 @@ def digest(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def runs(buf: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor, in a block of texts that begin at `starts`.
 
-    Gives (text, first window, number of windows, anchor's name, digest of all bytes), a row for each run.
+    Gives (text, first window, number of windows, how far on the anchor is, its name, digest of all bytes), by run.
     """
     n = len(buf)
     name = names(buf, ANCHOR)
     width = window - ANCHOR + 1
     if n < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     least = (name & ~_PLACE) | np.arange(len(name), dtype=np.uint64)  # the place decides between equal names
     size = 1
     while size * 2 <= width:
@@ -123,11 +133,11 @@ def runs(buf: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new)
     stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
     text = np.searchsorted(starts, first, "right") - 1
-    return text, first, stop - first, name[anchor[first]], digest(sums(buf), first, stop + window - 1)
+    return text, first, stop - first, anchor[first] - first, name[anchor[first]], digest(sums(buf), first, stop + window - 1)
 
 
 def all_runs(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tkey, a, n, m, c) for each run; tkey tells texts with one identifier apart."""
+    """(doc_id, tkey, a, n, d, m, c, w) for each run; tkey tells texts with one identifier apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,46 +145,97 @@ def all_runs(docs: DataFrame, window: int) -> DataFrame:
             for i, j, at, to in blocks(offs, window):
                 starts = np.unique(np.clip(offs[i:j] - at, 0, None))
                 which = i + np.searchsorted(np.clip(offs[i:j] - at, 0, None), starts, "right") - 1
-                text, first, n, m, c = runs(buf[at:to], starts, window)
+                text, first, n, d, m, c = runs(buf[at:to], starts, window)
                 row = which[text]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(row)), b.column("tkey").take(pa.array(row)), pa.array(first + at - offs[row]), pa.array(n.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(c.view(np.int64))],
-                    names=["doc_id", "tkey", "a", "n", "m", "c"],
+                    [b.column("doc_id").take(pa.array(row)), b.column("tkey").take(pa.array(row)), pa.array(first + at - offs[row]), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.ones(len(n), np.int32))],
+                    names=["doc_id", "tkey", "a", "n", "d", "m", "c", "w"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, tkey long, a long, n int, m long, c long")
+    return docs.mapInArrow(run, ROWS)
+
+
+def grid(s: np.ndarray, part: np.ndarray, a: np.ndarray, n: np.ndarray, d: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Blocks of runs (a, n, d): which run, first window, number of windows, distance, and their two names."""
+    low = d - n + 1  # the anchor's least place in a window
+    size = d // GRID - low // GRID + 1
+    run = np.repeat(np.arange(len(a)), size)
+    k = ranges(low // GRID, size)
+    p, hi, lo = (a + d)[run], np.minimum(d[run], k * GRID + GRID - 1), np.maximum(low[run], k * GRID)
+    core = digest(s, p - k * GRID, p - k * GRID - GRID + 1 + window) ^ (k.astype(np.uint64) * _C3)
+    return run, p - hi, hi - lo + 1, hi, core, digest(s, p - hi, p - lo + window)
+
 
+def single(s: np.ndarray, part: np.ndarray, a: np.ndarray, n: np.ndarray, d: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The windows of blocks, as grid() gives blocks of runs."""
+    run = np.repeat(np.arange(len(a)), n)
+    at = ranges(a, n)
+    return run, at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64), names(part, window)[at], digest(s, at, at + window)
 
-def windows(texts: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, doc_id, tkey, a, w): the two names of each window of the runs listed in `checks`, w 2 for a run that
-    is known to be repeated."""
+
+def finer(texts: DataFrame, window: int, cut) -> DataFrame:
+    """ROWS of the next round, from texts and the rows of the last one that go on (`checks`, by text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = text_buffer(b.column("text"))
             lists = b.column("checks")
-            sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            a, n, w = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("a", "n", "w"))
-            row = np.repeat(np.arange(b.num_rows), sizes)
-            begin = a + offs[row]  # place of each run's first window in buf
+            a, n, d, w = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("a", "n", "d", "w"))
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            begin = a + offs[row]  # place of each row's first window in buf
             order = np.argsort(begin, kind="stable")
-            begin, n, w, row = begin[order], n[order], w[order], row[order]
+            begin, n, d, w, row = begin[order], n[order], d[order], w[order], row[order]
             lo = 0
-            while lo < len(begin):  # blocks of runs that lie near each other
+            while lo < len(begin):  # those that lie near each other
                 hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + BLOCK)))
                 at, to = int(begin[lo]), int((begin[lo:hi] + n[lo:hi]).max()) + window - 1
                 part = buf[at:to]
-                place = ranges(begin[lo:hi] - at, n[lo:hi].astype(np.int64))
-                own = np.repeat(row[lo:hi], n[lo:hi])
-                k1, k2 = names(part, window)[place], digest(sums(part), place, place + window)
+                which, first, count, far, m, c = cut(sums(part), part, begin[lo:hi] - at, n[lo:hi], d[lo:hi], window)
+                own = row[lo:hi][which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), b.column("doc_id").take(pa.array(own)), b.column("tkey").take(pa.array(own)), pa.array(place + at - offs[own]), pa.array(np.repeat(w[lo:hi], n[lo:hi]).astype(np.int32))],
-                    names=["k1", "k2", "doc_id", "tkey", "a", "w"],
+                    [
+                        b.column("doc_id").take(pa.array(own)), b.column("tkey").take(pa.array(own)), pa.array(first + at - offs[own]), pa.array(count.astype(np.int32)), pa.array(far.astype(np.int32)),
+                        pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(w[lo:hi][which].astype(np.int32)),
+                    ],
+                    names=["doc_id", "tkey", "a", "n", "d", "m", "c", "w"],
                 )
                 lo = hi
 
-    return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, tkey long, a long, w int")
+    return texts.select("doc_id", "tkey", "text", "checks").mapInArrow(run, ROWS)
+
+
+def decide(ws: Workspace, rows: DataFrame, name: str, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(full, checks) of a round's ROWS: those that are repeated in full, and those that go on to the next round.
+
+    Rows whose m is unique go nowhere. Every join has a plain table on either side, so that Spark can split hot names.
+    """
+    every = ws.save(rows, f"{name}-rows")
+    ws.release()
+    if not last:
+        again = ws.save(every.groupBy("m").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("m"), f"{name}-again")
+        ws.release()
+        shared = ws.save(every.join(again, "m"), f"{name}-shared")
+        ws.drop(f"{name}-rows", f"{name}-again")
+        ws.release()
+    else:
+        shared = every
+    key = ["m", "c", "n"]
+    if last:
+        twice = ws.save(shared.groupBy(*key).agg(F.sum("w").alias("rows")).where("rows > 1").select(*key), f"{name}-twice")
+        ws.release()
+    else:
+        groups = ws.save(shared.groupBy(*key).agg(F.sum("w").alias("rows"), F.min(F.struct("doc_id", "tkey", "a", "d")).alias("one")), f"{name}-groups")
+        ws.release()
+        twice = groups.where("rows > 1").select(*key)
+    full = ws.save(shared.where("w = 1").join(twice, key).select("doc_id", "tkey", "a", "n"), f"{name}-full")
+    checks = None
+    if not last:
+        mixed = ws.save(groups.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.min("rows").alias("least")).where("kinds > 1 and least = 1").select("m"), f"{name}-mixed")
+        checks = ws.save(groups.join(mixed, "m").select("one.*", "n", F.when(F.col("rows") > 1, 2).otherwise(1).alias("w")), f"{name}-checks")
+    ws.drop(*(f"{name}-{x}" for x in ("rows", "shared", "twice", "groups", "mixed")))
+    ws.release()
+    return full, checks
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, name: str = "suffix", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -192,28 +253,21 @@ def remove_repeats(docs: DataFrame, window: int = 200, name: str = "suffix", id_
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
     key = ["doc_id", "tkey"]
 
-    every = ws.save(all_runs(rows, window), "runs")
-    again = ws.save(every.groupBy("m").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("m"), "again")
-    ws.release()
-    shared = ws.save(every.join(again, "m"), "shared")
-    ws.drop("runs", "again")
-    ws.release()
-    groups = ws.save(shared.groupBy("m", "c", "n").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "tkey", "a")).alias("one")), "groups")
-    mixed = ws.save(groups.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("m"), "mixed")
-    full = ws.save(shared.join(groups.where("rows > 1").select("m", "c", "n"), ["m", "c", "n"]).select(*key, "a", "n"), "full")
-    checks = ws.save(groups.join(mixed, "m").select("one.*", "n", F.when(F.col("rows") > 1, 2).otherwise(1).alias("w")), "checks")
-    ws.drop("shared")
-    ws.release()
+    def beside(texts: DataFrame, checks: DataFrame, number: str) -> DataFrame:
+        lists = checks.groupBy(*key).agg(F.collect_list(F.struct("a", "n", "d", "w")).alias("checks"))  # of one text
+        return texts.join(ws.save(lists, f"{number}-lists"), key)
 
-    lists = checks.groupBy(*key).agg(F.collect_list(F.struct("a", "n", "w")).alias("checks"))  # of one text
-    texts = rows.join(ws.save(lists, "lists"), key).dropDuplicates(key)
-    named = ws.save(windows(texts, window), "windows")
-    twice = ws.save(named.groupBy("k1", "k2").agg(F.sum("w").alias("w")).where("w > 1").select("k1", "k2"), "twice")
-    found = named.where("w = 1").join(twice, ["k1", "k2"]).select(*key, "a", F.lit(1).alias("n"))
+    full, checks = decide(ws, all_runs(rows, window), "run")
+    # A row that goes on is the only one of its kind, or stands for all of them: texts that are repeated as a whole
+    # never bring one row twice.
+    texts = ws.save(beside(rows, checks, "run"), "texts")
     ws.release()
-    spans = full.unionByName(found).groupBy(*key).agg(F.collect_list(F.struct("a", "n")).alias("found"))
+    blocks_full, checks = decide(ws, finer(texts, window, grid), "block")
+    singles_full, _ = decide(ws, finer(beside(texts.drop("checks"), checks, "block"), window, single), "window", last=True)
+    ws.drop("texts", "run-lists", "block-lists", "run-checks", "block-checks")
+    spans = full.unionByName(blocks_full).unionByName(singles_full).groupBy(*key).agg(F.collect_list(F.struct("a", "n")).alias("found"))
     spans = ws.save(spans, "spans")
-    ws.drop("windows", "twice", "full", "groups", "checks", "lists", "mixed")
+    ws.drop("run-full", "block-full", "window-full")
     ws.release()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
