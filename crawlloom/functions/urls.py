@@ -174,11 +174,21 @@ class ScopeColumns:
 
     @staticmethod
     def of(url: Column, subdomains: bool = False, restrict_to_path: bool = True) -> ScopeColumns:
-        p = Parts.of(tidy(url))
-        host = F.when(p.scheme.isin("http", "https") & (p.host != "") & p.readable & ~p.port.eqNullSafe(-1), p.host)
-        path = F.when(p.path == "", F.lit("/")).otherwise(p.path)
-        prefix = F.regexp_extract(path, r"^(.*/)[^/]*$", 1) if restrict_to_path else F.lit("/")
-        return ScopeColumns(p.scheme, host, p.port, prefix, subdomains)
+        def read(x: Column) -> Column:
+            p = Parts.at(x)
+            good = p.scheme.isin("http", "https") & (p.host != "") & p.readable & ~p.port.eqNullSafe(-1)
+            path = F.when(p.path == "", F.lit("/")).otherwise(p.path)
+            prefix = F.regexp_extract(path, r"^(.*/)[^/]*$", 1) if restrict_to_path else F.lit("/")
+            return F.struct(p.scheme.alias("scheme"), F.when(good, p.host).alias("host"), p.port.alias("port"), prefix.alias("prefix"))
+
+        return ScopeColumns.at(let(let(tidy(url), lambda u: Parts.of(u).struct()), read), subdomains)
+
+    def struct(self) -> Column:
+        return F.struct(self.scheme.alias("scheme"), self.host.alias("host"), self.port.alias("port"), self.prefix.alias("prefix"))
+
+    @staticmethod
+    def at(struct: Column, subdomains: bool = False) -> ScopeColumns:
+        return ScopeColumns(struct["scheme"], struct["host"], struct["port"], struct["prefix"], subdomains)
 
     def holds_host(self, host: Column) -> Column:
         same = host == self.host
@@ -213,29 +223,30 @@ def canonical(
     """
 
     def split(x: Column) -> Column:
-        return F.struct(Parts.of(x["href"]).struct().alias("link"), Parts.of(x["page"]).struct().alias("at"), x["some"].alias("some"))
+        return F.struct(Parts.of(x["href"]).struct().alias("link"), Parts.of(x["page"]).struct().alias("at"), x["scope"].alias("scope"), x["some"].alias("some"))
 
     def resolve(x: Column) -> Column:
         p, readable = resolved(Parts.at(x["link"]), Parts.at(x["at"]))
-        return F.struct(p.struct().alias("p"), (readable & x["some"]).alias("some"))
+        return F.struct(p.struct().alias("p"), x["scope"].alias("scope"), (readable & x["some"]).alias("some"))
 
     def clean(x: Column) -> Column:
         p = Parts.at(x["p"])
         return F.struct(
             p.host.alias("host"), p.port.alias("port"), F.when(p.path == "", F.lit("/")).otherwise(p.path).alias("path"), (clean_query(p.query, strip_params) if keep_query else F.lit("")).alias("query"),
-            F.when(p.fragment.rlike("^[/!]"), p.fragment).alias("fragment"), (x["some"] & p.scheme.isin("http", "https")).alias("some"),
+            F.when(p.fragment.rlike("^[/!]"), p.fragment).alias("fragment"), x["scope"].alias("scope"), (x["some"] & p.scheme.isin("http", "https")).alias("some"),
         )
 
     def join(x: Column) -> Column:
+        own = ScopeColumns.at(x["scope"], scope.subdomains)
         out = F.concat(
-            scope.scheme, F.lit("://"), x["host"], F.when(x["port"].isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), x["port"].cast("string"))), x["path"],
+            own.scheme, F.lit("://"), x["host"], F.when(x["port"].isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), x["port"].cast("string"))), x["path"],
             F.when(x["query"] != "", F.concat(F.lit("?"), x["query"])).otherwise(F.lit("")),
             F.coalesce(F.concat(F.lit("#"), x["fragment"]), F.lit("")) if hash_routing else F.lit(""),
         )
-        keep = x["some"] & scope.holds_host(x["host"]) & x["port"].eqNullSafe(scope.port) & x["path"].startswith(scope.prefix) & ~is_asset(x["path"], assets)
+        keep = x["some"] & own.holds_host(x["host"]) & x["port"].eqNullSafe(own.port) & x["path"].startswith(own.prefix) & ~is_asset(x["path"], assets)
         return F.when(keep, out)
 
-    out = F.struct(tidy(href).alias("href"), tidy(page).alias("page"), (strip(href) != "").alias("some"))
+    out = F.struct(tidy(href).alias("href"), tidy(page).alias("page"), scope.struct().alias("scope"), (strip(href) != "").alias("some"))
     for step in (split, resolve, clean, join):
         out = let(out, step)
     for pattern in exclude:

@@ -247,9 +247,12 @@ def crawl_sites(seeds: DataFrame, fetches: DataFrame, limits: Limits = Limits(),
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         site = _Site(limits, backoff)
         log: dict[str, list[dict]] = {}
-        for row in right.sort_values(["url", "attempt"]).astype(object).where(right.sort_values(["url", "attempt"]).notna(), None).to_dict("records"):
-            log.setdefault(row["url"], []).append(row)
-        site.stats["discovered"] += site.add(sorted(u for u in left["url"] if isinstance(u, str)), 0)
+        if len(right):
+            right = right.sort_values(["url", "attempt"]).astype(object)
+            for row in right.where(right.notna(), None).to_dict("records"):
+                log.setdefault(row["url"], []).append(row)
+        if len(left):
+            site.stats["discovered"] += site.add(sorted(u for u in left["url"] if isinstance(u, str)), 0)
         site.run(log, pace)
         rows = [
             {"kind": "page", "site": key[0], "url": u, "status": r["status"], "depth": r["depth"], "attempts": r["attempts"], "link_count": r["link_count"], "note": r["note"], "next_attempt_s": r["next"] if r["status"] == "queued" else None}
@@ -259,4 +262,7 @@ def crawl_sites(seeds: DataFrame, fetches: DataFrame, limits: Limits = Limits(),
         names = [c.split()[0] for c in schema.split(", ")]
         return pd.DataFrame(rows).reindex(columns=names).astype({n: "Int64" for n, t in (c.split() for c in schema.split(", ")) if t in ("int", "long")})
 
+    # Columns of their own: where both sides come from one table, Spark would take a shared column from one of them only.
+    seeds = seeds.select(*[F.concat(c, F.lit("")).alias(c) for c in ("site", "url")])
+    fetches = fetches.select(*FETCHES.split(", "))
     return seeds.groupBy("site").cogroup(fetches.groupBy("site")).applyInPandas(run, schema)
