@@ -87,6 +87,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.sha2(norm, 256).alias("digest"), norm.alias("body"))
     hits = ws.save(texts.join(state.where("group_size > 1"), "digest").select("id", "digest", "body", "keep_id"), "hits")
     kept = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("body").alias("kept_body"))
+    kept = ws.save(kept, "contents")  # a table on either side of the join, so that Spark can split a large group
     clash = hits.join(kept, "digest").where("body <> kept_body").select("digest")
     clash = ws.save(clash.distinct(), "clash")
     if clash.isEmpty():
