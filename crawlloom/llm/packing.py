@@ -5,7 +5,7 @@ share: the credit of queue s after k windows is k * WINDOW * weight_s, the whole
 (less than a token) is carried as the queue's deficit into the next window. The state of the round-robin after any
 window is therefore a closed form of k, so the queues need not be walked one after another: a document's tokens know
 from their place in the queue in which windows they go and where in the stream, however documents are dealt over
-partitions. When a queue runs dry, its share goes to the others in proportion; these phases (as many as queues at most)
+partitions. When a queue runs dry, its share goes to the others in proportion from the next window on; these phases (as many as queues at most)
 are worked out on the driver. With no target mixture the weights are the corpus's own proportions, so that all queues
 last to the end. The stream is then cut into sequences of SEQUENCE tokens; only the last one is padded.
 

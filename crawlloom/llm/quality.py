@@ -25,8 +25,8 @@ from .encode import Powers
 BITS = 20
 #: Rated rows that the model is fitted on, at most about (a binomial sample of that mean).
 SAMPLE_ROWS = 16_000
-#: A bucket counts if this many rows of the sample have it.
-LEAST_ROWS = 30
+#: A bucket counts if one in so many rows of the sample has it, and LEAST_ROWS rows do.
+ROWS_PER_BUCKET, LEAST_ROWS = 500, 5
 #: Bytes of text that are looked at together.
 BLOCK = 1 << 21
 
@@ -114,10 +114,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(buckets: np.ndarray, offs: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 400, rate: float = 0.3, decay: float = 2e-4, least_rows: int = LEAST_ROWS) -> Model:
-    """Adam on the mean log-loss of the cumulative links, with an L2 penalty."""
+def fit(buckets: np.ndarray, offs: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 400, rate: float = 0.3, prior: float = 4.0) -> Model:
+    """Adam on the mean log-loss of the cumulative links, with an L2 penalty of prior / 2 over all rows."""
     n = len(grades)
-    seen = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS) >= min(least_rows, max(1, n // 20)))
+    seen = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS) >= max(min(LEAST_ROWS, n), n // ROWS_PER_BUCKET))
     place = np.full(1 << BITS, -1)
     place[seen] = np.arange(len(seen))
     row = np.repeat(np.arange(n), np.diff(offs))
@@ -130,7 +130,7 @@ def fit(buckets: np.ndarray, offs: np.ndarray, grades: np.ndarray, n_grades: int
     for t in range(1, steps + 1):
         w, th = p[: len(seen)], p[len(seen) :]
         gap = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n)[:, None] - th[None, :], -40, 40))) - above
-        g = np.concatenate([np.bincount(col, gap.sum(axis=1)[row], len(seen)) / n + decay * w, -gap.sum(axis=0) / n])
+        g = np.concatenate([np.bincount(col, gap.sum(axis=1)[row], len(seen)) / n + prior / n * w, -gap.sum(axis=0) / n])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         p[len(seen) :] = np.sort(p[len(seen) :])
