@@ -120,8 +120,11 @@ def resolved(link: Parts, at: Parts) -> tuple[Parts, Column]:
     """The parts of a link on a page, from the parts of both, and whether they can be read."""
     scheme = F.when(link.scheme == "", at.scheme).otherwise(link.scheme)
     relative = (scheme == at.scheme) & ~(link.has_netloc & (link.netloc != ""))
-    here = relative & (link.path == "")
-    dotted = F.when(here, at.path).when(relative, F.when(link.path.rlike(r"^/(?!.*(?://|/\.))[^.]*$"), link.path).otherwise(_path_joined(at.path, link.path))).otherwise(link.path)
+    # empty parameters at the end of a path are none, where the schemes agree
+    path = F.when(scheme == at.scheme, F.regexp_replace(link.path, r"^((?:.*/)?[^/;]*);$", "$1")).otherwise(link.path)
+    here = relative & (path == "")
+    own = F.regexp_replace(at.path, r"^((?:.*/)?[^/;]*);$", "$1")
+    dotted = F.when(here, own).when(relative, F.when(path.rlike(r"^/(?!.*(?://|/\.))[^.]*$"), path).otherwise(_path_joined(at.path, path))).otherwise(path)
     out = Parts(
         scheme,
         F.when(relative, at.netloc).otherwise(link.netloc),
@@ -250,10 +253,14 @@ def canonical(
     for step in (split, resolve, clean, join):
         out = let(out, step)
     for pattern in exclude:
-        out = let(out, lambda x, pattern=pattern: F.when(~x.rlike(pattern), x))
+        out = let(out, _unless(pattern))
     return out
 
 
+def _unless(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(~x.rlike(pattern), x)
+
+
 def canonical_all(hrefs: Column, page: Column, scope: ScopeColumns, **how) -> Column:
     """The distinct canonical URLs of an array of links, in the order in which they are first met."""
     return F.array_distinct(F.filter(F.transform(hrefs, lambda h: canonical(h, page, scope, **how)), lambda u: u.isNotNull()))

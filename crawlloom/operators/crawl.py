@@ -116,6 +116,13 @@ class _Site:
             heapq.heappush(self.due, (depth, self.batch, u))
         return len(new)
 
+    def resume(self, rows: list[dict]) -> None:
+        """Take up rows of an earlier run; its clock is at 0 again, so what it held back is due after what was left."""
+        for r in sorted(rows, key=lambda r: r["url"]):
+            self.rows[r["url"]] = {"status": r["status"], "depth": int(r["depth"] or 0), "attempts": int(r["attempts"] or 0), "link_count": r["link_count"], "note": r["note"], "next": None, "batch": 0}
+            if r["status"] == "queued":
+                heapq.heappush(self.due, (int(r["depth"] or 0), 0, r["url"]))
+
     def put_back(self, url: str, note: str, wait: float = 0.0, refund: bool = False) -> None:
         row = self.rows[url]
         row["status"], row["note"] = "queued", note
@@ -235,7 +242,9 @@ def exit_code(stats: dict, reason: str | None) -> int:
 
 
 def crawl_sites(seeds: DataFrame, fetches: DataFrame, limits: Limits = Limits(), backoff: tuple[float, float, float] = (2.0, 4.0, 300.0), pace: float = 0.0) -> DataFrame:
-    """Each site's crawl in its exact order: seeds (site, url, canonical) and fetches as fetch_log() gives them.
+    """Each site's crawl in its exact order: seeds (site, url, in canonical form) and fetches as fetch_log() gives them.
+
+    Rows of seeds that have a status (and depth, attempts, link_count, note) are those of an earlier run, which goes on.
 
     Returns state rows (kind 'page') and a row of counts a site (kind 'stats'), in the columns of STATE and STATS. Sites
     run side by side; one site's pages are one task's work, as its order asks for. Jitter is off and time is counted by
@@ -252,7 +261,10 @@ def crawl_sites(seeds: DataFrame, fetches: DataFrame, limits: Limits = Limits(),
             for row in right.where(right.notna(), None).to_dict("records"):
                 log.setdefault(row["url"], []).append(row)
         if len(left):
-            site.stats["discovered"] += site.add(sorted(u for u in left["url"] if isinstance(u, str)), 0)
+            left = left.astype(object)
+            left = left.where(left.notna(), None)
+            site.resume([r for r in left.to_dict("records") if r["status"] is not None])
+            site.stats["discovered"] += site.add(sorted(r["url"] for r in left.to_dict("records") if r["status"] is None and r["url"] is not None), 0)
         site.run(log, pace)
         rows = [
             {"kind": "page", "site": key[0], "url": u, "status": r["status"], "depth": r["depth"], "attempts": r["attempts"], "link_count": r["link_count"], "note": r["note"], "next_attempt_s": r["next"] if r["status"] == "queued" else None}
@@ -260,9 +272,10 @@ def crawl_sites(seeds: DataFrame, fetches: DataFrame, limits: Limits = Limits(),
         ]
         rows.append({"kind": "stats", "site": key[0], **site.stats, "stop_reason": site.reason, "exit_code": exit_code(site.stats, site.reason)})
         names = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame(rows).reindex(columns=names).astype({n: "Int64" for n, t in (c.split() for c in schema.split(", ")) if t in ("int", "long")})
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     # Columns of their own: where both sides come from one table, Spark would take a shared column from one of them only.
-    seeds = seeds.select(*[F.concat(c, F.lit("")).alias(c) for c in ("site", "url")])
+    kinds = {"status": "string", "depth": "int", "attempts": "int", "link_count": "int", "note": "string", "next_attempt_s": "double"}
+    seeds = seeds.select(*[F.concat(c, F.lit("")).alias(c) for c in ("site", "url")], *[(F.col(c) if c in seeds.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
     fetches = fetches.select(*FETCHES.split(", "))
     return seeds.groupBy("site").cogroup(fetches.groupBy("site")).applyInPandas(run, schema)

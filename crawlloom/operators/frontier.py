@@ -112,7 +112,7 @@ def has_pending(state: DataFrame, max_attempts: int = 3) -> bool:
 def until_due(state: DataFrame, now: Column | datetime | str, max_attempts: int = 3) -> DataFrame:
     """(seconds) until the first URL that is held back falls due: 0 at least, null where none is."""
     held = state.where((F.col("status") == "queued") & (F.col("attempts") < max_attempts)).agg(F.min("next_attempt_at").alias("due"))
-    return held.select(F.greatest(F.unix_timestamp("due") - F.unix_timestamp(second(now)), F.lit(0)).alias("seconds"))
+    return held.select(F.when(F.col("due").isNotNull(), F.greatest(F.unix_timestamp("due") - F.unix_timestamp(second(now)), F.lit(0))).alias("seconds"))
 
 
 def visited(state: DataFrame) -> DataFrame:

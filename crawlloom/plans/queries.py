@@ -389,8 +389,7 @@ def fixture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS ({_CANONICAL}), h AS (SELECT page_id, regexp_extract(canonical_url, '^[^:]+://([^/]*)', 1) AS site, canonical_url FROM c),
-    n AS (SELECT h.site, h.canonical_url, count(DISTINCT CASE WHEN {_SUFFIX_OK} THEN {_TARGET} END) AS k FROM h JOIN ({_LINKS}) l USING (page_id) GROUP BY 1, 2),
+    f"""WITH c AS ({_CANONICAL}), h AS (SELECT min(page_id) AS page_id, regexp_extract(canonical_url, '^[^:]+://([^/]*)', 1) AS site, canonical_url FROM c GROUP BY canonical_url),
     t AS (SELECT h.site, count(DISTINCT {_TARGET}) AS found FROM h JOIN ({_LINKS}) l USING (page_id) WHERE {_SUFFIX_OK} AND {_TARGET} NOT IN (SELECT canonical_url FROM c) GROUP BY 1)
     SELECT h.site, count(DISTINCT h.canonical_url) AS visited, coalesce(max(t.found), 0) AS failed FROM h LEFT JOIN t USING (site) GROUP BY 1"""
 )
