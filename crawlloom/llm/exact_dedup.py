@@ -88,7 +88,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     hits = ws.save(texts.join(state.where("group_size > 1"), "digest").select("id", "digest", "body", "keep_id"), "hits")
     kept = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("body").alias("kept_body"))
     kept = ws.save(kept, "contents")  # a table on either side of the join, so that Spark can split a large group
-    clash = hits.join(kept, "digest").where("body <> kept_body").select("digest")
+    # Written before it is made distinct: a distinct on the join's own key would keep Spark from splitting the join.
+    clash = ws.save(hits.join(kept, "digest").where("body <> kept_body").select("digest"), "differing")
     clash = ws.save(clash.distinct(), "clash")
     if clash.isEmpty():
         groups = spool.join(state, "digest")
