@@ -214,53 +214,64 @@ class ScopeColumns:
         return F.when(slug == "", F.lit("site")).otherwise(slug)
 
 
-def canonical(
-    href: Column, page: Column, scope: ScopeColumns, strip_params: tuple[str, ...] = TRACKING_PARAMS, keep_query: bool = True,
-    hash_routing: bool = False, assets: tuple[str, ...] = ASSET_SUFFIXES, exclude: tuple[str, ...] = (),
-) -> Column:
-    """The canonical URL of a link on a page inside a scope, or null for one that isn't followed.
+def _context(page: Column, scope: ScopeColumns) -> Column:
+    """What links of a page have in common: the page's parts, and its scope."""
+    return F.struct(let(tidy(page), lambda p: Parts.of(p).struct()).alias("at"), scope.struct().alias("scope"))
 
-    Dropped are blank and unreadable links, other schemes than http(s), other hosts, ports and paths, files that are no
-    pages, and results that an exclude pattern (a Java regular expression) finds itself in. The scope's scheme replaces
-    the link's. A fragment stays only with hash_routing, where it begins with / or !.
-    """
 
-    def split(x: Column) -> Column:
-        return F.struct(Parts.of(x["href"]).struct().alias("link"), Parts.of(x["page"]).struct().alias("at"), x["scope"].alias("scope"), x["some"].alias("some"))
+def _in_context(
+    href: Column, context: Column, subdomains: bool, strip_params: tuple[str, ...] = TRACKING_PARAMS, keep_query: bool = True,
+    hash_routing: bool = False, assets: tuple[str, ...] = ASSET_SUFFIXES, exclude: tuple[str, ...] = (),
+) -> Column:
+    scope = ScopeColumns.at(context["scope"], subdomains)
 
-    def resolve(x: Column) -> Column:
-        p, readable = resolved(Parts.at(x["link"]), Parts.at(x["at"]))
-        return F.struct(p.struct().alias("p"), x["scope"].alias("scope"), (readable & x["some"]).alias("some"))
+    def resolve(link: Column) -> Column:
+        p, readable = resolved(Parts.at(link), Parts.at(context["at"]))
+        return F.struct(p.struct().alias("p"), readable.alias("some"))
 
     def clean(x: Column) -> Column:
         p = Parts.at(x["p"])
         return F.struct(
             p.host.alias("host"), p.port.alias("port"), F.when(p.path == "", F.lit("/")).otherwise(p.path).alias("path"), (clean_query(p.query, strip_params) if keep_query else F.lit("")).alias("query"),
-            F.when(p.fragment.rlike("^[/!]"), p.fragment).alias("fragment"), x["scope"].alias("scope"), (x["some"] & p.scheme.isin("http", "https")).alias("some"),
+            F.when(p.fragment.rlike("^[/!]"), p.fragment).alias("fragment"), (x["some"] & p.scheme.isin("http", "https")).alias("some"),
         )
 
     def join(x: Column) -> Column:
-        own = ScopeColumns.at(x["scope"], scope.subdomains)
         out = F.concat(
-            own.scheme, F.lit("://"), x["host"], F.when(x["port"].isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), x["port"].cast("string"))), x["path"],
+            scope.scheme, F.lit("://"), x["host"], F.when(x["port"].isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), x["port"].cast("string"))), x["path"],
             F.when(x["query"] != "", F.concat(F.lit("?"), x["query"])).otherwise(F.lit("")),
             F.coalesce(F.concat(F.lit("#"), x["fragment"]), F.lit("")) if hash_routing else F.lit(""),
         )
-        keep = x["some"] & own.holds_host(x["host"]) & x["port"].eqNullSafe(own.port) & x["path"].startswith(own.prefix) & ~is_asset(x["path"], assets)
+        keep = x["some"] & scope.holds_host(x["host"]) & x["port"].eqNullSafe(scope.port) & x["path"].startswith(scope.prefix) & ~is_asset(x["path"], assets)
         return F.when(keep, out)
 
-    out = F.struct(tidy(href).alias("href"), tidy(page).alias("page"), scope.struct().alias("scope"), (strip(href) != "").alias("some"))
-    for step in (split, resolve, clean, join):
+    out = F.when(strip(href) != "", tidy(href))
+    for step in (lambda link: Parts.of(link).struct(), resolve, clean, join):
         out = let(out, step)
     for pattern in exclude:
         out = let(out, _unless(pattern))
     return out
 
 
+def canonical(href: Column, page: Column, scope: ScopeColumns, **how) -> Column:
+    """The canonical URL of a link on a page inside a scope, or null for one that isn't followed.
+
+    Dropped are blank and unreadable links, other schemes than http(s), other hosts, ports and paths, files that are no
+    pages, and results that an exclude pattern (a Java regular expression) finds itself in. The scope's scheme replaces
+    the link's. A fragment stays only with hash_routing, where it begins with / or !.
+    """
+    return let(_context(page, scope), lambda context: _in_context(href, context, scope.subdomains, **how))
+
+
 def _unless(pattern: str) -> Callable[[Column], Column]:
     return lambda x: F.when(~x.rlike(pattern), x)
 
 
 def canonical_all(hrefs: Column, page: Column, scope: ScopeColumns, **how) -> Column:
     """The distinct canonical URLs of an array of links, in the order in which they are first met."""
-    return F.array_distinct(F.filter(F.transform(hrefs, lambda h: canonical(h, page, scope, **how)), lambda u: u.isNotNull()))
+
+    def follow(context: Column) -> Column:
+        targets = F.transform(hrefs, lambda h: _in_context(h, context, scope.subdomains, **how))
+        return F.array_distinct(F.filter(targets, lambda u: u.isNotNull()))
+
+    return let(_context(page, scope), follow)
