@@ -149,8 +149,9 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = (*HOST_RULES, *PATTERNS), ur
     every = list(rules)
     names = ("host", "path", "rule", "pattern", "verdict")
     kept = [c for c in pages.columns if c not in names]
+    own = "_" * (1 + max((len(c) for c in pages.columns), default=0))  # no column of theirs
     url = F.col(url_column)
-    out = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), F.lit(-1).alias("_size"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("pattern"), F.lit("allow").alias("verdict"))
+    out = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"), F.lit(-1).alias(own), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("pattern"), F.lit("allow").alias("verdict"))
     out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
     schema = out.schema
     for at in range(0, len(every), BLOCK_RULES):
@@ -160,7 +161,7 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = (*HOST_RULES, *PATTERNS), ur
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in batches:
-                size, rule, pattern, verdict = (b.column(c).to_pylist() for c in ("_size", "rule", "pattern", "verdict"))
+                size, rule, pattern, verdict = (b.column(c).to_pylist() for c in (own, "rule", "pattern", "verdict"))
                 for k, (host, path) in enumerate(zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)):
                     n, v, r, p = decide(index.fitting(host, path))
                     if n >= 0:  # against what the blocks before have found
@@ -169,8 +170,8 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = (*HOST_RULES, *PATTERNS), ur
                         better = size[k] < 0 and p is not None and (pattern[k] is None or (v == "allow" and verdict[k] != "allow"))
                     if better:
                         size[k], verdict[k], rule[k], pattern[k] = n, v, r, p
-                new = {"_size": pa.array(size, pa.int32()), "rule": pa.array(rule, pa.string()), "pattern": pa.array(pattern, pa.string()), "verdict": pa.array(verdict, pa.string())}
+                new = {own: pa.array(size, pa.int32()), "rule": pa.array(rule, pa.string()), "pattern": pa.array(pattern, pa.string()), "verdict": pa.array(verdict, pa.string())}
                 yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in b.schema.names], names=b.schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out.drop("_size")
+    return out.drop(own)
