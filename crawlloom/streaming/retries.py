@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -51,6 +53,7 @@ class RetryProcessor(StatefulProcessor):
 
 def retry_states(attempts: DataFrame, processor: RetryProcessor | None = None) -> DataFrame:
     """The stream of states for a stream of attempts (url, seq, at, ok, retryable)."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # also the process that prepares the state needs the class
     return attempts.groupBy("url").transformWithStateInPandas(processor or RetryProcessor(), OUT, "append", "none")
 
 
