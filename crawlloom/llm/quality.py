@@ -28,7 +28,7 @@ SAMPLE_ROWS = 16_000
 #: A bucket counts if one in so many rows of the sample has it, and LEAST_ROWS rows do.
 ROWS_PER_BUCKET, LEAST_ROWS = 500, 5
 #: Bytes of text that are looked at together.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 _powers = Powers()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -120,17 +120,26 @@ def fit(buckets: np.ndarray, offs: np.ndarray, grades: np.ndarray, n_grades: int
     seen = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS) >= max(min(LEAST_ROWS, n), n // ROWS_PER_BUCKET))
     place = np.full(1 << BITS, -1)
     place[seen] = np.arange(len(seen))
-    row = np.repeat(np.arange(n), np.diff(offs))
+    # Entries by row and by column, so that both sums of a step are sums of neighbours.
     known = place[buckets] >= 0
-    row, col = row[known].astype(np.int32), place[buckets[known]].astype(np.int32)
+    col = place[buckets[known]].astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offs))[known]
+    full, row_starts = np.unique(row, return_index=True)
+    by_col = row[np.argsort(col, kind="stable")]
+    col_starts = np.cumsum(np.bincount(col, minlength=len(seen))) - np.bincount(col, minlength=len(seen))
+    del row, known
     above = (grades[:, None] > np.arange(n_grades - 1)[None, :]).astype(float)
     share = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
     p = np.concatenate([np.zeros(len(seen)), -np.log(share / (1 - share))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
         w, th = p[: len(seen)], p[len(seen) :]
-        gap = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n)[:, None] - th[None, :], -40, 40))) - above
-        g = np.concatenate([np.bincount(col, gap.sum(axis=1)[row], len(seen)) / n + prior / n * w, -gap.sum(axis=0) / n])
+        score = np.zeros(n)
+        if len(col):
+            score[full] = np.add.reduceat(w.astype(np.float32)[col], row_starts)
+        gap = 1 / (1 + np.exp(-np.clip(score[:, None] - th[None, :], -40, 40))) - above
+        slope = np.add.reduceat(gap.sum(axis=1)[by_col], col_starts) if len(col) else np.zeros(0)
+        g = np.concatenate([slope / n + prior / n * w, -gap.sum(axis=0) / n])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         p[len(seen) :] = np.sort(p[len(seen) :])
