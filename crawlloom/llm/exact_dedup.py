@@ -46,7 +46,7 @@ class ExactDedup:
             "spark.sql.shuffle.partitions": self.ws.spark.conf.get("spark.sql.shuffle.partitions"),
             "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
             "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
             "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's logs take up disk ahead of need
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
