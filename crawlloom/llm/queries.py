@@ -139,6 +139,21 @@ SQL: dict[str, str] = {
         SELECT p.page_id, p.host, p.path, r.rule, CASE WHEN r.rule IS NULL THEN q.pattern END AS pattern,
                coalesce(r.verdict, q.verdict, 'allow') AS verdict
         FROM p LEFT JOIN r USING (page_id) LEFT JOIN q USING (page_id)""",
+    "op8_chat": r"""
+        WITH t AS (
+          SELECT conv_id, turn, role AS raw, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL
+          SELECT -7, turn, role, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) p(turn, role)),
+        e AS (
+          SELECT *, '<s>[INST] ' || replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') || ' [/INST]'
+                 || replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') || '</s>' AS own
+          FROM t),
+        c AS (
+          SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, raw NULLS FIRST, text) AS turns,
+                 coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, raw NULLS FIRST, text) FILTER (raw = 'assistant'), '') AS learnt,
+                 string_agg(own, '' ORDER BY turn NULLS FIRST, raw NULLS FIRST, text) AS formatted
+          FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, length(formatted) AS formatted_chars FROM c""",
     "op10_exact_dedup": """
         WITH d AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

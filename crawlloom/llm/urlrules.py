@@ -43,7 +43,7 @@ class Rule:
         else:
             body, regex = self.pattern, "".join({"||": r"(?:[^/]*\.)?", "^": r"(?:[^a-z0-9]|\Z)", "*": r"(?s:.*)"}.get(x, re.escape(x)) for x in re.split(r"(\A\|\||\^|\*)", self.pattern))
             regex = regex if self.pattern.startswith("||") else "(?s:.*?)" + regex
-        found = []
+        found, body = [], body.translate(_LOWER)  # tokens are compared in lower case, expressions as they stand
         for m in _TOKEN.finditer(body):
             before, after = body[: m.start()], body[m.end() :]
             # Whole in every match: something that isn't a letter or digit stands on either side.

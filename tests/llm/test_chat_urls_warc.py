@@ -75,6 +75,12 @@ def test_url_rules_in_blocks_agree_with_trying_every_rule(spark, monkeypatch):
         assert {r.page_id: (r.verdict, r.rule, r.pattern) for r in urlrules.judge(pages, rules).collect()} == want
 
 
+def test_rules_with_capitals():
+    rule = urlrules.Rule("block", "h.com", "/aEN/b/")
+    index = urlrules.RuleIndex([rule], {})
+    assert rule.tokens == ("h", "com", "aen", "b") and index.fitting("h.com", "/aEN/b/c") == [rule] and not index.fitting("h.com", "/aen/b/c")
+
+
 def test_warc_audit(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", "x" * (k * 37 % 5000) + "é\r\n\r\nWARC/1.1\r\n") for k in range(300)] + [(None, None, None), (7, "http://h/7", None), (301, "u", "")], "page_id long, url string, html string")
     ws = Workspace(spark, "test")
