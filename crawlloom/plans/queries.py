@@ -11,7 +11,7 @@ from ..functions import urls
 from ..functions.urls import Parts, ScopeColumns
 from ..operators import crawl, frontier, report, retry, sitemap
 from ..operators.robots import Robots
-from ..operators.scope import Scope, UrlPolicy
+from ..operators.scope import UrlPolicy
 from ..sources import pages as source
 from ..sources.shared import checkpointed
 from ..streaming import retries
@@ -85,7 +85,10 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("canonical_url is not null")
 
 
-@query(f"""SELECT page_id, {_SUFFIX} AS suffix, {_SUFFIX} IN ({_ASSETS}) AS is_asset FROM ({_PARTS.replace("FROM pages", "FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '[?#].*$', '') || '.PDF' ELSE regexp_replace(url, '[?#].*$', '') || '/a.b.Js?x=1' END AS url FROM pages)")})""")
+_MADE = """(SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '[?#].*$', '') || '.PDF' ELSE regexp_replace(url, '[?#].*$', '') || '/a.b.Js?x=1' END AS url FROM pages)"""
+
+
+@query(f"SELECT page_id, {_SUFFIX} AS suffix, {_SUFFIX} IN ({_ASSETS}) AS is_asset FROM ({_PARTS.replace('pages', _MADE)})")
 def asset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The asset test, on the pages' URLs and on ones made of them with suffixes of files."""
     bare = F.regexp_replace("url", r"[?#].*$", "")
@@ -94,7 +97,10 @@ def asset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", urls.asset_suffix(path).alias("suffix"), urls.is_asset(path).alias("is_asset"))
 
 
-@query(f"SELECT page_id, query, {_CLEAN} AS cleaned FROM ({_PARTS.replace('FROM pages', chr(70) + 'ROM (SELECT page_id, regexp_replace(url, ' + chr(39) + '#.*$' + chr(39) + ', ' + chr(39) + chr(39) + ') || CASE WHEN contains(url, ' + chr(39) + '?' + chr(39) + ') THEN ' + chr(39) + '&' + chr(39) + ' ELSE ' + chr(39) + '?' + chr(39) + ' END || ' + chr(39) + 'z=1&&UTM_Medium=x&b=2&flag&a=9' + chr(39) + ' AS url FROM pages)')})")
+_LONGER = """(SELECT page_id, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'z=1&&UTM_Medium=x&b=2&flag&a=9' AS url FROM pages)"""
+
+
+@query(f"SELECT page_id, query, {_CLEAN} AS cleaned FROM ({_PARTS.replace('pages', _LONGER)})")
 def query_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries without tracking parameters, sorted."""
     url = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("z=1&&UTM_Medium=x&b=2&flag&a=9"))
@@ -473,9 +479,7 @@ def outcome_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.apply(state, outcomes, NOW).select("url", "status", "attempts", _text(F.col("next_attempt_at")).alias("due"), "note")
 
 
-@query(
-    f"""SELECT url, status, attempts FROM ({_STATE.replace("THEN 'skipped'", "THEN 'done'")})"""
-)
+@query(f"""SELECT url, status, attempts FROM ({_STATE.replace("THEN 'skipped'", "THEN 'done'")})""")
 def retry_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each URL's last state in the stream of attempts."""
     folder = retries.folder(spark)
