@@ -3,15 +3,16 @@
 The join walks pairs of trie nodes at once, adds up the bits in which their paths differ, and drops a pair as soon as
 it has more than the allowed number. The top of the trie is cut, from a histogram over the first 16 bits, into nodes of
 a bounded number of fingerprints; the driver walks pairs of those nodes, and each pair that survives is one row for the
-executors, the fingerprints of both nodes, which go on with the same walk, level by level on arrays. From a pair of nodes only a spanning
-forest of the links comes back (equal classes, fewer rows), so a cluster of n texts costs n rows and not n squared. The
-classes are the connected components of these forests.
+executors, the fingerprints of both nodes, which go on with the same walk, level by level on arrays. From a pair of
+nodes only a spanning forest of the links comes back (equal classes, fewer rows), and what already lies in one class is
+passed over, so a cluster of n texts costs n rows and far fewer steps than n squared. The classes are the connected
+components of these forests.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,9 +123,18 @@ def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
             root = up
 
 
-def links(left: np.ndarray, right: np.ndarray, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _uniform_to(root: np.ndarray) -> np.ndarray:
+    """For each place, the first place after it whose class is another."""
+    turn = np.append(np.flatnonzero(root[1:] != root[:-1]) + 1, len(root))
+    return turn[np.searchsorted(turn, np.arange(len(root)), "right")]
+
+
+def links(left: np.ndarray, right: np.ndarray, budget: int, same: bool, classes: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with left[i] and right[j] at `budget` or fewer differing bits; both sorted and distinct.
-    same: right is left, and only i < j are given. Walks the trie in blocks, so the memory is bounded."""
+    same: right is left, and only i < j are given. Walks the trie in blocks, so the memory is bounded.
+
+    classes: gives the classes of left and right as they are now; node pairs that lie in one class are then passed over,
+    as their links would join nothing new."""
     todo = [(0, tuple(np.array([x], np.int64) for x in (0, len(left), 0, len(right), 0)))]
     while todo:
         depth, (al, ah, bl, bh, far) = todo.pop()
@@ -132,6 +142,10 @@ def links(left: np.ndarray, right: np.ndarray, budget: int, same: bool) -> Itera
             k = len(al) // 2
             todo += [(depth, tuple(x[k:] for x in (al, ah, bl, bh, far))), (depth, tuple(x[:k] for x in (al, ah, bl, bh, far)))]
             continue
+        if classes is not None and len(al):
+            of_left, of_right = classes()
+            live = (of_left[al] != of_right[bl]) | (_uniform_to(of_left)[al] < ah) | (_uniform_to(of_right)[bl] < bh)
+            al, ah, bl, bh, far = (x[live] for x in (al, ah, bl, bh, far))
         small = (ah - al) * (bh - bl) <= LEAF_PAIRS if depth < 64 else np.ones(len(al), bool)
         if small.any():
             na, nb = (ah - al)[small], (bh - bl)[small]
@@ -202,7 +216,10 @@ def linked(fps: DataFrame, ws: Workspace, budget: int = 4) -> DataFrame:
                 left, right = (np.sort(batch.column(c)[k].values.to_numpy().view(np.uint64)) for c in ("left_keys", "right_keys"))
                 every, shift = (left, 0) if same else (np.concatenate([left, right]), len(left))
                 root = np.arange(len(every))
-                for i, j in links(left, right, budget, same):
+                for side, at in ((left, 0), (right, shift)):  # neighbours in order are mostly near: large clusters are one class early
+                    i = np.flatnonzero(np.bitwise_count(side[1:] ^ side[:-1]) <= budget) + at
+                    root = forest(i, i + 1, root)
+                for i, j in links(left, right, budget, same, lambda: (root[: len(left)], root[shift:])):
                     root = forest(i, j + shift, root)
                 held = np.flatnonzero(root != np.arange(len(every)))
                 yield pa.RecordBatch.from_arrays([pa.array(every[root[held]].view(np.int64)), pa.array(every[held].view(np.int64))], names=["a", "b"])

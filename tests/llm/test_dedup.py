@@ -136,6 +136,22 @@ def test_links_of_random_keys_against_all_pairs():
     assert got == want and len(want) >= 300
 
 
+def test_classes_of_a_dense_cluster():
+    """Passing over pairs that lie in one class leaves the classes as they are."""
+    r = np.random.default_rng(9)
+    keys = np.full(1500, 0x123456789ABCDEF0, np.uint64)
+    for k in range(3):
+        keys[k * 300 :] ^= np.uint64(1) << r.integers(0, 64, 1500 - k * 300, np.uint64)
+    keys = np.unique(np.concatenate([keys, r.integers(0, 2**63, 500, np.uint64)]))
+    plain = fewer = np.arange(len(keys))
+    n_plain = n_fewer = 0
+    for i, j in simhash.links(keys, keys, 4, True):
+        plain, n_plain = simhash.forest(i, j, plain), n_plain + len(i)
+    for i, j in simhash.links(keys, keys, 4, True, lambda: (fewer, fewer)):
+        fewer, n_fewer = simhash.forest(i, j, fewer), n_fewer + len(i)
+    assert (plain == fewer).all() and n_fewer <= n_plain
+
+
 def test_exact_dedup(spark):
     rows = [(1, "Abc"), (5, "aBC"), (3, "abc"), (2, None), (9, ""), (4, "ÄB"), (6, "äb"), (7, "x" * 300_000), (8, "X" * 300_000), (8, "X" * 300_000), (None, "abc"), (None, "only")]
     got = exact_dedup.exact_dedup(table(spark, rows)).collect()
