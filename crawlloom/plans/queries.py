@@ -324,6 +324,20 @@ def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("navigation", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("mime", F.lit("")).alias("mime"), source.response_kind(F.col("status"), F.col("mime")).alias("kind"))
 
 
+@query("SELECT page_id, regexp_matches(html, '(?i)<article[ />]') AS has_article, regexp_matches(html, '(?i)<table[ />]') AS has_table FROM pages")
+def selector_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the element that a crawl would wait for is in each snapshot."""
+    html = F.col("html")
+    return _table(spark, sf_dir, "pages").select("page_id", source.has_tag(html, "article").alias("has_article"), source.has_tag(html, "table").alias("has_table"))
+
+
+@query("SELECT event_id, coalesce(lag(event_type) OVER w = event_type, FALSE) AS is_download FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def download_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigations that left the browser where it was; an event's type stands for the place."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _table(spark, sf_dir, "events").select("event_id", source.not_navigated(before, F.col("event_type")).alias("is_download"))
+
+
 # -- robots, redirects, canonicals -----------------------------------------------------------------------------------
 
 ROBOTS = "User-agent: *\nAllow: /en/4\nDisallow: /en/\nDisallow: /de/5\nAllow: /\nDisallow: /fr/"
@@ -427,6 +441,16 @@ def sitemap_chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemap.chunk_by_count(_entries(spark, sf_dir), 40).select("loc", "chunk")
 
 
+@query(
+    f"""SELECT chunk, count(*) AS n_urls, 'https://example.com/sitemap-' || (chunk + 1) || '.xml' AS loc
+    FROM (SELECT (row_number() OVER (ORDER BY loc) - 1) // 40 AS chunk FROM (SELECT DISTINCT canonical_url AS loc FROM ({_CANONICAL}))) GROUP BY chunk"""
+)
+def sitemap_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a split sitemap, as its index lists them."""
+    files = sitemap.chunk_by_count(_entries(spark, sf_dir), 40).groupBy("chunk").agg(F.count(F.lit(1)).alias("n_urls"))
+    return files.withColumn("loc", F.concat(F.lit("https://example.com/sitemap-"), F.col("chunk") + 1, F.lit(".xml")))
+
+
 @query(
     f"""WITH RECURSIVE s AS (SELECT loc, strlen(loc) + 96 AS size, row_number() OVER (ORDER BY loc) AS n FROM (SELECT DISTINCT canonical_url AS loc FROM ({_CANONICAL}))),
     f(n, loc, chunk, held, k) AS (
@@ -457,6 +481,12 @@ def sites_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sites_report(o.select(F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("site"), status.alias("status")))
 
 
+@query(f"SELECT DISTINCT lower(netloc) AS site FROM ({_PARTS}) ORDER BY site")
+def site_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites that have pages, in order."""
+    return source.sites(_table(spark, sf_dir, "pages").select(Parts.of(F.col("url")).host.alias("site")))
+
+
 @query("SELECT * FROM (VALUES ('base_url', 'https://b.test/'), ('schema_version', '2'), ('note', 'kept')) t(key, value)")
 def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = spark.createDataFrame([("base_url", "https://a.test/"), ("note", "kept")], "key string, value string")
