@@ -102,15 +102,16 @@ def _path_joined(base: Column, path: Column) -> Column:
     """A relative path put in place of the last segment of base, with its dots resolved."""
     own, before = F.split(path, "/"), F.split(base, "/")
     kept = F.when(F.element_at(before, -1) == "", before).otherwise(F.slice(before, F.lit(1), F.size(before) - 1))
-    whole = F.when(path.startswith("/"), own).otherwise(F.concat(kept, own))
+    # only a path that is joined to the page's own loses its empty segments
+    joined = let(F.concat(kept, own), lambda w: F.filter(w, lambda s, k: (k == 0) | (k == F.size(w) - 1) | (s != "")))
+    whole = F.when(path.startswith("/"), own).otherwise(joined)
 
     def step(done: Column, s: Column) -> Column:
         up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
         return F.when(s == "..", up).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
 
     def walk(w: Column) -> Column:
-        inner = F.filter(w, lambda s, k: (k == 0) | (k == F.size(w) - 1) | (s != ""))
-        walked = F.aggregate(inner, F.array().cast("array<string>"), step)
+        walked = F.aggregate(w, F.array().cast("array<string>"), step)
         return F.array_join(F.concat(walked, F.when(F.element_at(w, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
 
     return let(let(whole, walk), lambda out: F.when(out == "", F.lit("/")).otherwise(out))

@@ -17,7 +17,7 @@ CASES = [
     ("/brochure.pdf", BASE), ("/img/logo.PNG", BASE), ("/app.js", BASE), ("https://example.com:notaport/a", BASE), ("#top", BASE), ("/a#top", BASE), ("#", BASE), ("#section", BASE + "a"), ("/c?utm_source=nav&id=7", BASE),
     ("/c?b=2&a=1", BASE), ("/c?flag=", BASE), ("/c?flag", BASE), ("/c?a=%zz&b=x+y&c=*~é&&d=%C3%A9", BASE), ("../../x", BASE + "a/b/c"), ("a//b/./c/..", BASE + "q/"), ("?x=1", BASE + "q/z?y=2"), ("/.pdf", BASE), ("/x?f=a.pdf", BASE),
     ("/a.pdf/", BASE), ("https://user:pw@example.com/z", BASE), ("http://example.com:443/z", BASE), ("https://example.com:443/z", BASE), ("https:/x", BASE), ("https:x", BASE + "q/z"), ("/a\tb\nc", BASE),
-    ("https://example.com/docs/../x", BASE), ("..", BASE), ("/..", BASE), ("/a/.", BASE), ("/a/b/..", BASE), ("http:foo", BASE), ("HTTPS://example.com", BASE), ("//", BASE), ("///x", BASE), ("https://[::1", BASE), ("x/y/..//z", BASE + "q/r"),
+    ("https://example.com/docs/../x", BASE), ("..", BASE), ("/..", BASE), ("/a/.", BASE), ("/a/b/..", BASE), ("http:foo", BASE), ("HTTPS://example.com", BASE), ("//", BASE), ("///x", BASE), ("https://[::1", BASE), ("x/y/..//z", BASE + "q/r"), ("/2//", BASE), ("/a//../b", BASE), (";", BASE + "q/r"), ("/x;", BASE),
 ]
 
 
@@ -49,7 +49,7 @@ def test_canonical_as_the_standard_library_has_it(spark):
     assert canonical(spark, CASES, UrlPolicy.build(BASE)) == [plainly(*c) for c in CASES]
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None, derandomize=True, database=None)
 @given(st.lists(st.text("ab./?&=#%:;+~ *é2F", max_size=14), min_size=30, max_size=30))
 def test_canonical_of_odd_links(spark, hrefs):
     cases = [(h, BASE + "d/e/f?q=1") for h in hrefs]
