@@ -18,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from .encode import encoder, with_end
 SEQUENCE = 2048
 #: Tokens of a window in which the mixture is held: 64 sequences.
 WINDOW = 64 * SEQUENCE
-#: Queues at most; with more sources than that, a queue holds all sources of one hash value.
-MAX_QUEUES = 4096
+#: Sums of tokens, by window and queue, that a task keeps at most.
+SUMS = 1 << 23
 #: Documents longer than this are kept as several rows of ids.
 PIECE_IDS = 1 << 20
 
@@ -52,25 +53,47 @@ class Schedule:
         share = [Fraction(weights[k]).limit_denominator(10**9) if weights and k in weights else Fraction(0 if weights else sizes[k]) for k in self.names]
         least = min((x for x in share if x > 0), default=Fraction(1))
         share = [x if x > 0 else least / 10**6 for x in share]  # a source without a target trickles, and follows when the others are dry
-        # Phases: (first window, tokens credited before it, by queue; credit a window, by queue).
-        self.phases: list[tuple[int, list[Fraction], list[Fraction]]] = []
-        k, credit = 0, [Fraction(0)] * len(self.names)
-        while live := [i for i, n in enumerate(self.sizes) if credit[i] < n]:
-            total = sum(share[i] for i in live)
-            rate = [share[i] * window / total if i in live else Fraction(0) for i in range(len(self.names))]
-            self.phases.append((k, credit, rate))
-            lasts = min(-((credit[i] - self.sizes[i]) // rate[i]) for i in live)  # windows until the first queue is dry
-            k, credit = k + lasts, [min(Fraction(n), c + lasts * r) for n, c, r in zip(self.sizes, credit, rate, strict=True)]
+        scale = lcm(*(x.denominator for x in share))
+        self.shares = [int(x * scale) for x in share]
+        # A queue's credit is its share times a sum that all queues have in common, up to its size.
+        # Phases: first window, that sum before it, what a window adds to it.
+        self.phases: list[tuple[int, Fraction, Fraction]] = []
+        order = sorted(range(len(self.names)), key=lambda i: Fraction(self.sizes[i], self.shares[i]))  # as they run dry
+        k, common, total, at = 0, Fraction(0), sum(self.shares), 0
+        while at < len(order):
+            rate = Fraction(window, total)
+            self.phases.append((k, common, rate))
+            lasts = -((common - Fraction(self.sizes[order[at]], self.shares[order[at]])) // rate)  # windows until the first queue is dry
+            k, common = k + lasts, common + lasts * rate
+            while at < len(order) and common * self.shares[order[at]] >= self.sizes[order[at]]:
+                total -= self.shares[order[at]]
+                at += 1
         self.n_windows, self.firsts = k, [p[0] for p in self.phases]
+        self._sums: dict[int, np.ndarray] = {}
+
+    def _common(self, k: int) -> Fraction:
+        first, common, rate = self.phases[bisect_right(self.firsts, max(k, 0)) - 1]
+        return common + (k - first) * rate
 
     def sent(self, queue: int, k: int) -> int:
         """Tokens of a queue in the first k windows."""
-        first, credit, rate = self.phases[bisect_right(self.firsts, max(k, 0)) - 1]
-        return min(self.sizes[queue], int(credit[queue] + (k - first) * rate[queue]))
+        common = self._common(k)
+        return min(self.sizes[queue], self.shares[queue] * common.numerator // common.denominator)
+
+    def _before(self, k: int) -> np.ndarray:
+        """Tokens in the first k windows of the queues before each one, and of all."""
+        if k not in self._sums:
+            common = self._common(k)
+            sent = np.minimum(np.array(self.shares, object) * common.numerator // common.denominator, np.array(self.sizes, object))
+            while self._sums and (len(self._sums) + 1) * len(self.names) > SUMS:
+                del self._sums[next(iter(self._sums))]
+            self._sums[k] = np.concatenate([[0], np.cumsum(sent.astype(np.int64))])
+        return self._sums[k]
 
     def place(self, queue: int, k: int) -> int:
         """Where in the stream window k's tokens of a queue begin."""
-        return sum(self.sent(i, k + (i < queue)) for i in range(len(self.names)))
+        now, then = self._before(k), self._before(k + 1)
+        return int(then[queue] + now[-1] - now[queue])
 
     def window_of(self, queue: int, token: int) -> int:
         """The window that a token of a queue is in."""
@@ -78,13 +101,10 @@ class Schedule:
         return lo
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, n_queues_at_most: int = MAX_QUEUES, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """(doc_id, queue, part, ordinal, start, doc_tokens, first, ids): each document's ids, with its place in its queue
     inside its part; ids are little-endian unsigned 32- or 16-bit integers, by the size of the vocabulary."""
     source = F.coalesce(F.col(source_column).cast("string"), F.lit("")) if source_column in docs.columns else F.lit("")
-    n_sources = docs.select(F.approx_count_distinct(source).alias("n")).first()["n"]
-    if n_sources > n_queues_at_most // 2:  # the estimate is good to 5 %
-        source = F.lpad(F.pmod(F.xxhash64(source), F.lit(n_queues_at_most)).cast("string"), 4, "0")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), source.alias("queue"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("queue", "doc_id").sortWithinPartitions("queue", "doc_id", "text")
 
