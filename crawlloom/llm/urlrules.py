@@ -43,11 +43,12 @@ class Rule:
         else:
             body, regex = self.pattern, "".join({"||": r"(?:[^/]*\.)?", "^": r"(?:[^a-z0-9]|\Z)", "*": r"(?s:.*)"}.get(x, re.escape(x)) for x in re.split(r"(\A\|\||\^|\*)", self.pattern))
             regex = regex if self.pattern.startswith("||") else "(?s:.*?)" + regex
-        found, body = [], body.translate(_LOWER)  # tokens are compared in lower case, expressions as they stand
+        found, own, body = [], body, body.translate(_LOWER)  # tokens are compared in lower case, expressions as they stand
         for m in _TOKEN.finditer(body):
             before, after = body[: m.start()], body[m.end() :]
             # Whole in every match: something that isn't a letter or digit stands on either side.
-            if before and before[-1] not in "*" and after and after[0] != "*":
+            # A ^ also fits a capital, so beside it only a token without capitals is found whole.
+            if before and before[-1] not in "*" and after and after[0] != "*" and (own[m.start() : m.end()] == m[0] or "^" not in before[-1] + after[0]):
                 found.append(m[0])
         object.__setattr__(self, "regex", regex)
         object.__setattr__(self, "tokens", tuple(dict.fromkeys(found)))
@@ -111,7 +112,7 @@ class RuleIndex:
         text = host + path
         low = text.translate(_LOWER)
         near = list(self.always)
-        for token in set(_TOKEN.findall(low)):
+        for token in {*_TOKEN.findall(low), *_TOKEN.findall(text)}:  # to an expression, a capital is a separator
             near += self.by_token.get(token, ())
         return [self.rules[k] for k in near if self.regex[k].match(text)]
 
