@@ -3,7 +3,7 @@
 P(grade > k) = sigmoid(w . x - threshold_k), with one weight vector for all grades and ordered thresholds. x is a set of
 hashed features of the whole text: its words, and classes of its style (shares of capitals, of repeated words, of
 punctuation, and so on). The model gives an expected grade and tail probabilities, and rows are selected by the latter.
-Fitting takes a bounded sample of the rated rows, chosen by a hash of their identifier; scoring covers all rows.
+Fitting takes a bounded sample of the rated rows, chosen by a hash of identifier and text; scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -151,25 +151,31 @@ def fit(buckets: np.ndarray, offs: np.ndarray, grades: np.ndarray, n_grades: int
 def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = SAMPLE_ROWS, name: str = "quality") -> Model:
     """Fit on a sample of docs (doc_id, text) rated by ratings (doc_id, grade).
 
-    Rows are chosen by a hash of doc_id, each with the chance that makes sample_rows of them in the mean. An identifier
-    with several ratings has the least of them; null ratings, and those without a document, are left out. Without any
-    rated row, all weights are zero and every row gets the same tail probabilities.
+    sample_rows bounds rows, not only identifiers: first identifiers are chosen by a hash, each with the chance that
+    makes sample_rows of them in the mean, then, should many rows share those, distinct (doc_id, text) in the same way.
+    Rows that repeat both count once. An identifier with several ratings has the least of them; null ratings, and those
+    without a document, are left out. Without any rated row, all weights are zero and every row gets the same tail
+    probabilities.
     """
     ws = Workspace(docs.sparkSession, name)
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    total = rated.count()
-    part = int(min(1.0, sample_rows / max(total, 1)) * 2**31)
-    chosen = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < part)
+    share = lambda n: int(min(1.0, sample_rows / max(n, 1)) * 2**31)
+    chosen = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share(rated.count()))
     chosen = ws.save(chosen, "chosen")  # sample_rows rows or so, whatever the input
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("key")).join(F.broadcast(chosen), "doc_id")
+    held = rows.select("doc_id", "key").distinct().count()
+    if held > 2 * sample_rows:
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(2**31)) < share(held))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in in_blocks(b):
                 f, o = features(buf, offs)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("grade").slice(i, j - i).cast(pa.int32()), pa.array([f[x:y].astype("<i4").tobytes() for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], names=["doc_id", "grade", "features"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("key").slice(i, j - i), b.column("grade").slice(i, j - i).cast(pa.int32()), pa.array([f[x:y].astype("<i4").tobytes() for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], names=["doc_id", "key", "grade", "features"])
 
-    sample = ws.save(rows.mapInArrow(run, "doc_id long, grade int, features binary"), "sample").toPandas().sort_values(["doc_id", "grade"])
+    sample = rows.mapInArrow(run, "doc_id long, key long, grade int, features binary").groupBy("doc_id", "key").agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
+    sample = ws.save(sample, "sample").toPandas().sort_values(["doc_id", "key"])
+    ws.drop("chosen", "sample")
     if not len(sample):
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(n_grades - 1))
     found = [np.frombuffer(x, "<i4") for x in sample["features"]]
@@ -204,6 +210,12 @@ LEAST_TAIL = 0.7
 
 
 def selected(docs: DataFrame, labels: DataFrame, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """docs with expected_grade, tails and selected: whether P(top grade) is least_tail or more."""
-    model = fit_on(docs, grades_of(labels), N_GRADES)
+    """docs with expected_grade, tails and selected: whether P(top grade) is least_tail or more.
+
+    Every row of docs comes back once, with its own columns (those of the three names are replaced); repeated rows and
+    rows that share an identifier are scored each by its own text, and a null identifier needs none. A null text is
+    empty. An empty table gives no rows; without labels every row has the same probabilities, 0.5, and none is selected.
+    """
+    docs = docs.drop("selected")
+    model = fit_on(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), grades_of(labels), N_GRADES)
     return score(docs, model).withColumn("selected", F.element_at("tails", -1) >= least_tail)
