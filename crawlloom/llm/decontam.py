@@ -6,8 +6,11 @@ text less place in the item). Bands of 2 * E diagonals at every E-th diagonal ho
 So, text by text: all q-grams are looked up in the index of the items, the hits are counted in the bands, stretches
 that reach the bound are retained, and a banded alignment of every window of the item in them settles which match.
 
+Items shorter than q have no q-gram; their whole strings are looked up, where they stand as words of their own.
+
 The items are the stated query set; they are taken in blocks of a bounded number of characters, and each block's index
-goes to the executors, which read every text whole. Nothing is shuffled, so frequent passages make no task larger.
+goes to the executors, which read every text whole, once for each block. Nothing is shuffled, so frequent passages make
+no task larger, and the hits of a piece of text are walked item range by item range, so frequent q-grams don't either.
 """
 
 from __future__ import annotations
@@ -28,9 +31,13 @@ WINDOW = 80
 PER_EDIT = 16
 #: Characters of items in one block, whose index takes about 40 bytes for each.
 BLOCK_CHARS = 1 << 21
+#: Hits (places of a text times places of items) that are counted together.
+MOST_HITS = 1 << 21
 #: Characters between texts that are looked at together: more than a window may have edits.
 GAP = 2 * WINDOW // PER_EDIT + 6
 _FILTER_BITS = 22
+#: Stands between texts; no text or item has it.
+_NONE = 0x7FFFFFFF
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,11 +81,21 @@ def qgrams(chars: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * _MIX
 
 
+def short_keys(chars: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key for the n characters at each place; n is less than Q."""
+    size = max(0, len(chars) - n + 1)
+    x, out = chars.astype(np.uint64), np.full(size, n, np.uint64)
+    for k in range(n):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + x[k : k + size]
+    return out
+
+
 @dataclass
 class Index:
-    """The q-grams of some items: sorted keys, and for each the items and places that have it."""
+    """The q-grams of some items: sorted keys, and for each the items and places that have it; short: for each length
+    under Q, sorted keys of the items of that length and their numbers."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     items: list[np.ndarray]
     keys: np.ndarray
     first: np.ndarray
@@ -87,10 +104,13 @@ class Index:
     filter: np.ndarray
     sizes: np.ndarray
     rules: np.ndarray
+    order: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(rows: list[tuple[int, str]]) -> Index:
+    def of(rows: list[tuple[int | None, str]]) -> Index:
         items = [folded(t)[0] for _, t in rows]
+        items = [x if len(x) >= Q else folded(t.strip())[0] for x, (_, t) in zip(items, rows, strict=True)]
         every = [qgrams(x) for x in items]
         key = np.concatenate([*every, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(items)), [len(x) for x in every])
@@ -101,7 +121,14 @@ class Index:
         held[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         sizes = np.array([len(x) for x in items], np.int64)
         rules = np.array([window_of(len(x)) for x in items], np.int64).reshape(-1, 3)
-        return Index(np.array([i for i, _ in rows], np.int64), items, keys, np.append(first, len(key)), item[order].astype(np.int32), place[order].astype(np.int32), held, sizes, rules)
+        short = {}
+        for n in range(1, Q):
+            own = np.flatnonzero(sizes == n)
+            if len(own):
+                named = np.concatenate([short_keys(items[k], n) for k in own])
+                short[n] = (np.sort(named), own[np.argsort(named, kind="stable")])
+        ranked = np.repeat(np.arange(len(keys)), np.diff(np.append(first, len(key)))) * max(1, len(items)) + item[order]
+        return Index([i for i, _ in rows], items, keys, np.append(first, len(key)), item[order].astype(np.int32), place[order].astype(np.int32), held, sizes, rules, ranked, short)
 
 
 def window_of(n: int) -> tuple[int, int, int]:
@@ -156,22 +183,61 @@ def edits_of(item: np.ndarray, chars: np.ndarray, lo: int, hi: int, diagonals: n
     return cost, end, u
 
 
-def matches(index: Index, chars: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+Match = tuple[int, int, int, int, int, int]
+
+
+def short_matches(index: Index, chars: np.ndarray) -> Iterator[Match]:
+    """As matches(), for the items shorter than Q: no edits, and no letter or digit on either side."""
+    for n, (keys, items) in index.short.items():
+        own = short_keys(chars, n)
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        for at in np.flatnonzero(lo < hi):
+            sides = [int(chars[x]) for x in (at - 1, at + n) if 0 <= x < len(chars)]
+            if any(x != _NONE and chr(x).isalnum() for x in sides):
+                continue
+            for k in items[lo[at] : hi[at]]:
+                if (index.items[k] == chars[at : at + n]).all():
+                    yield int(k), int(at), int(at) + n, 0, 0, n
+
+
+def matches(index: Index, chars: np.ndarray) -> list[Match]:
     """(item number, from, to, least edits, item from, item to) for each place where a window of an item occurs.
 
-    chars may hold several texts with GAP characters between them that no item has.
+    chars may hold several texts with GAP characters between them that no item has. One match may be given in parts.
     """
+    found = list(short_matches(index, chars))
     keys = qgrams(chars)
     hit = np.flatnonzero(index.filter[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     if not len(hit) or not len(index.keys):
-        return []
+        return found
     own = keys[hit]
     at = np.searchsorted(index.keys, own)
     at[at == len(index.keys)] = 0
     ok = index.keys[at] == own
-    hit, at = hit[ok], at[ok]
-    n = index.first[at + 1] - index.first[at]
-    post = ranges(index.first[at], n)
+    todo = [(hit[ok], at[ok], 0, len(index.items))]
+    while todo:
+        hit, at, low, high = todo.pop()
+        first, last = (np.searchsorted(index.order, at * len(index.items) + x) for x in (low, high))
+        n = last - first
+        if not n.any():
+            continue
+        hit, at, first, n = (x[n > 0] for x in (hit, at, first, n))
+        reach = 2 * (WINDOW + WINDOW // PER_EDIT)
+        if n.sum() > MOST_HITS and high - low > 1:
+            middle = (low + high) // 2
+            todo += [(hit, at, low, middle), (hit, at, middle, high)]
+        elif n.sum() > MOST_HITS and hit[-1] - hit[0] > 2 * reach:  # whatever lies across the middle lies in the left part whole
+            middle = (int(hit[0]) + int(hit[-1])) // 2
+            left, right = hit <= middle + reach // 2, hit > middle - reach // 2
+            todo += [(hit[left], at[left], low, high), (hit[right], at[right], low, high)]
+        else:
+            found += counted(index, chars, hit, first, n)
+    return found
+
+
+def counted(index: Index, chars: np.ndarray, hit: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[Match]:
+    """The matches of hits (places in the text, and n postings from `first` on of each), counted in bands."""
+    post = ranges(first, n)
     pos, item, place = np.repeat(hit, n), index.item[post].astype(np.int64), index.place[post].astype(np.int64)
     diag = pos - place + index.sizes[item]  # not negative
     step = np.maximum(index.rules[item, 1], 1)
@@ -216,10 +282,10 @@ def matches(index: Index, chars: np.ndarray) -> list[tuple[int, int, int, int, i
     return found
 
 
-def blocks_of(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[list[tuple[int, str]]]:
+def blocks_of(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[list[tuple[int | None, str]]]:
     """The items, a block at a time; repeated rows count once."""
     rows, size = [], 0
-    items = benchmark.where(F.col(text_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), text_column).distinct()
+    items = benchmark.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long"), text_column).distinct()
     for item, text in items.toLocalIterator():
         rows.append((item, text))
         size += len(text)
@@ -230,7 +296,7 @@ def blocks_of(benchmark: DataFrame, id_column: str = "item_id", text_column: str
         yield rows
 
 
-OUT = "doc_id long, item_id long, start long, end long, edits int, item_start int, item_end int, item_chars int"
+OUT = "doc_id long, item_id long, start long, end long, edits int, item_start int, item_end int, item_chars int, text_key long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -238,12 +304,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
     Compared are lower-cased characters with white space as single spaces. A window has WINDOW characters, or the
     whole item where that is shorter, and matches with one edit for every PER_EDIT of them or fewer; start and end are
-    the matching part's places in the text, in characters, from the first window to the last. Items shorter than Q
-    characters and null ones match nothing; a null text is empty. Each repeated row gets its own rows. Without texts or
-    items there are no rows.
+    the matching part's places in the text, in characters and to within the edits, from the first window to the last. An item shorter than Q
+    characters matches without edits, where no letter or digit stands beside it. Null and empty items match nothing; an
+    item without an id has a null item_id. A null text is empty; text_key is the xxhash64 of the text. Each repeated
+    row gets its own rows; other columns are ignored. Without texts or items there are no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     out = spark.createDataFrame([], OUT)
     for block in blocks_of(benchmark):
         shared = spark.sparkContext.broadcast(Index.of(block))
@@ -251,13 +319,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             names = [f.split()[0] for f in OUT.split(", ")]
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 4
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.int64()]
             for batch in batches:
                 found = []
                 for some in slices(batch, "text", 1 << 19):
-                    ids, parts = some.column("doc_id").to_pylist(), [folded(t) for t in some.column("text").to_pylist()]
+                    ids, named, parts = some.column("doc_id").to_pylist(), some.column("text_key").to_pylist(), [folded(t) for t in some.column("text").to_pylist()]
                     offs = np.concatenate([[0], np.cumsum([len(p[0]) + GAP for p in parts])])
-                    every = np.full(offs[-1], 0x7FFFFFFF, np.uint32)
+                    every = np.full(offs[-1], _NONE, np.uint32)
                     for p, a in zip(parts, offs, strict=False):
                         every[a : a + len(p[0])] = p[0]
                     rows: dict[tuple[int, int], list[int]] = {}
@@ -268,7 +336,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
                         rows[row, k] = [min(was[0], x), max(was[1], y), min(was[2], edits), min(was[3], a), max(was[4], b)]
                     for (row, k), (x, y, edits, a, b) in rows.items():
                         place = parts[row][1]
-                        found.append((ids[row], int(index.ids[k]), int(place[x]), int(place[y - 1]) + 1, edits, a, b, int(index.sizes[k])))
+                        found.append((ids[row], index.ids[k], int(place[x]), int(place[y - 1]) + 1, edits, a, b, int(index.sizes[k]), named[row]))
                 cols = list(zip(*found, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
