@@ -1,101 +1,143 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filtering, then comparison of whole sets.
+"""Exact Jaccard similarity of word shingles for near copies: prefixes, exact pruning by them, comparison of whole sets.
 
 Shingles are put in one order for all texts. Two sets of n shingles at similarity 4/5 or more share at least
 ceil(4 n / 5) of each one's, so they share one of the first n - ceil(4 n / 5) + 1 of each: the prefix. Texts that share a
-prefix shingle are candidates, and the sets of candidates are compared; nothing is left out and nothing is estimated.
-Which order is taken changes only the cost: shingles that are common in a sample come last, as they join many texts.
-
-Candidates come in two rounds, so that a large group of copies costs no square of its size: first each text of a shingle
-with one of them, then, when those links have made classes, the pairs that lie in different classes.
+prefix shingle are candidates. What two prefixes share bounds what the sets can share, so most candidates are ruled out,
+exactly, by the prefixes alone; only the whole sets of the rest are compared. Nothing is left out or estimated. Which
+order is taken changes only the cost: shingles that are common in a sample come last, as they join many texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
-from .simhash import _LOWER, _WORDS
+from .common import Workspace
 
 #: Texts, about, in which common shingles are looked for; one is common if so many of them hold it.
 SAMPLE_DOCS, COMMON = 20_000, 12
 #: Common shingles that are broadcast at most.
 MOST_COMMON = 1 << 17
+#: Words whose hashes a task keeps at most.
+MOST_WORDS = 1 << 18
+#: Bits of a shingle's key; common shingles have keys above.
+KEY_BITS = 62
 
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The distinct shingles' 64-bit hashes, sorted. A-Z are lower-cased; a shorter text counts whole."""
-    import xxhash
 
-    words = _WORDS.findall((text or "").encode().translate(_LOWER))
-    f = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([f(b" ".join(words), 42)], np.uint64)
-    body = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
-    return np.unique(np.array([f(body[i:j], 42) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+class _WordHashes(dict):
+    """word -> 64-bit hash, forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = own = xxhash.xxh3_64_intdigest(word)
+        return own
 
 
-def _node(own: np.ndarray) -> int:
+_hashes = _WordHashes()
+
+
+def hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The shingles' 64-bit hashes, in order and with repeats. A-Z are lower-cased; a shorter text counts whole."""
+    words = _WORDS.findall((text or "").encode().translate(_LOWER))
+    own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    n = len(own) - shingle + 1
+    if n < 1:
+        own, n, shingle = np.append(own, np.uint64(len(own))), 1, len(own) + 1
+    out = own[:n].copy()
+    for k in range(1, shingle):
+        out ^= out >> np.uint64(32)
+        out *= _C1
+        out += own[k : k + n]
+    out ^= out >> np.uint64(32)
+    out *= _C2
+    return out ^ (out >> np.uint64(29))
+
+
+def keys(own: np.ndarray) -> np.ndarray:
+    """The distinct shingles as keys, sorted."""
+    return np.unique(own >> np.uint64(64 - KEY_BITS)).view(np.int64)
+
+
+def name_of(own: np.ndarray) -> int:
     """A name for a set: equal sets are one node."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(own.tobytes())
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
 
-def _signed(x: list[int]) -> pa.Array:
-    return pa.array(np.array(x, np.uint64).view(np.int64))
+def prefix_size(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sorted; how often each) of the shingles that are common in a sample of the texts."""
+    """(keys, sorted; the place of each in the order) of the shingles that are common in a sample of the texts."""
     part = 1 << 20
     share = max(1, min(part, part * SAMPLE_DOCS // max(1, docs.count())))
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) < share).select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingles(t.as_py(), shingle) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], names=["tok"])
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(keys(hashes(t.as_py(), shingle)))], names=["tok"])
 
     counts = some.mapInArrow(run, "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     rows = counts.orderBy(F.desc("n"), "tok").limit(MOST_COMMON).collect()
-    tok, n = _as_keys([r["tok"] for r in rows]), np.array([r["n"] for r in rows], np.int64)
+    tok = np.array([r["tok"] for r in reversed(rows)], np.int64)  # the commonest last
     order = np.argsort(tok)
-    return tok[order], n[order]
+    return tok[order], order
 
 
-def _as_keys(x: list[int]) -> np.ndarray:
-    return np.array(x, np.int64).view(np.uint64)
+def ordered(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys with the common ones moved to the end; as numbers they then ascend in the order of all texts."""
+    known, place = common
+    if not len(known):
+        return own
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return np.sort(np.where(known[at] == own, (1 << KEY_BITS) + place[at], own))
 
 
-def prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, n, prefix): of each text, its set's name and size, and the first of its shingles in the order."""
+def prefixes(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
+    """(doc_id, text_key, node, fp, n, last, prefix) of docs (doc_id, text): a row's set by name and size, its SimHash,
+    and the first of its shingles in the order with the last of these. A set that a task meets again has no prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
+        seen: set[int] = set()
         for b in batches:
-            node, size, first = [], [], []
+            node, fp, size, last, first = [], [], [], [], []
             for t in b.column("text"):
-                own = shingles(t.as_py(), shingle)
-                node.append(_node(own))
-                size.append(len(own))
-                rank = np.zeros(len(own), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, often[at], 0)
-                first.append(own[np.argsort(rank, kind="stable")][: len(own) - (4 * len(own) + 4) // 5 + 1])
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-            flat = pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _signed(node), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat)], names=["doc_id", "node", "n", "prefix"])
-
-    return docs.mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+                every = hashes(t.as_py(), shingle)
+                own = keys(every)
+                node.append(name_of(own))
+                fp.append(fingerprint(every))
+                own = ordered(own, shared.value)
+                own, n = own[: prefix_size(len(own))], len(own)
+                size.append(n)
+                last.append(int(own[-1]))
+                first.append(None if node[-1] in seen else own)
+                seen.add(node[-1])
+            offs = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in first])]).astype(np.int32)
+            flat = pa.array(np.concatenate([*(x for x in first if x is not None), np.zeros(0, np.int64)]))
+            lists = pa.ListArray.from_arrays(pa.array(offs), flat, mask=pa.array([x is None for x in first], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_key"), pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(last, pa.int64()), lists],
+                names=["doc_id", "text_key", "node", "fp", "n", "last", "prefix"],
+            )
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, fp long, n int, last long, prefix array<long>")
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -113,57 +155,90 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def shared_by_two(posts: DataFrame) -> DataFrame:
-    """Of (tok, node, n, pos), the rows whose tok has others; pivot, pivot_n: the least node of the tok."""
+    """Of (tok, node, n), the distinct rows whose tok has others; pivot, pivot_n: the least node of the tok."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, node, n, pos in _groups(batches):
+        for tok, node, n in _groups(batches):
+            new = np.ones(len(tok), bool)
+            new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
+            tok, node, n = tok[new], node[new], n[new]
             _, first, count = np.unique(tok, return_index=True, return_counts=True)
             head, many = np.repeat(first, count), np.repeat(count, count) > 1
-            cols = [tok, node, n, pos, node[head], n[head]]
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["tok", "node", "n", "pos", "pivot", "pivot_n"])
+            cols = [tok, node, n, node[head], n[head]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["tok", "node", "n", "pivot", "pivot_n"])
 
-    return posts.repartition("tok").sortWithinPartitions("tok", "node").mapInArrow(run, "tok long, node long, n int, pos int, pivot long, pivot_n int")
+    return posts.repartition("tok").sortWithinPartitions("tok", "node").mapInArrow(run, "tok long, node long, n int, pivot long, pivot_n int")
 
 
-def candidates(tok: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one tok in different classes that may be similar, by their sizes and places. Sorted by tok and n."""
+def candidates(tok: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one tok in different classes whose sizes allow it, once for each tok. Sorted by tok and n."""
     _, first, count = np.unique(tok, return_index=True, return_counts=True)
     mixed = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), count)
-    tok, node, n, pos, comp = (x[mixed] for x in (tok, node, n.astype(np.int64), pos.astype(np.int64), comp))
+    tok, node, n, comp = (x[mixed] for x in (tok, node, n.astype(np.int64), comp))
     live, d = np.arange(len(tok)), 0
     while len(live):
         d += 1
         live = live[live + d < len(tok)]
         live = live[(tok[live + d] == tok[live]) & (5 * n[live] >= 4 * n[live + d])]
-        i, j = live, live + d
-        most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # shared, if this is the first that both have
-        ok = (comp[i] != comp[j]) & (9 * most >= 4 * (n[i] + n[j]))
+        ok = comp[live] != comp[live + d]
         if ok.any():
-            i, j = i[ok], j[ok]
+            i, j = live[ok], live[ok] + d
             yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
 
 def between_classes(posts: DataFrame) -> DataFrame:
-    """(a, b) of (tok, node, n, pos, comp): see candidates."""
+    """(a, b, shared) of (tok, node, n, comp): see candidates; shared counts the toks that both have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _groups(batches):
             for a, b in candidates(*cols):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(run, "a long, b long").distinct()
+    pairs = posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(run, "a long, b long")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def possible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Those of (a, b, shared) that can reach 4/5, given (node, n, last): what both share beyond the nearer end of the
+    two prefixes lies beyond the prefix of the set that ends there."""
+    x, y = (sizes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("last").alias(f"last{k}")) for k in "ab")
+    rows = pairs.join(x, "a").join(y, "b")
+    rest = lambda n: F.floor((F.col(n) * 4 + 4) / 5) - 1
+    most = F.col("shared") + F.when(F.col("lasta") < F.col("lastb"), rest("na")).when(F.col("lasta") > F.col("lastb"), rest("nb")).otherwise(F.least(rest("na"), rest("nb")))
+    return rows.where(most * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
+
+
+def by_prefixes(pairs: DataFrame, own: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """Those of the pairs (a, b) that can reach 4/5, by their prefixes."""
+    ids = ws.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-nodes")
+    known = own.where("prefix is not null").select("node", "n", "prefix").join(ids, "node", "left_semi")
+    known = ws.save(known.dropDuplicates(["node"]), f"{name}-prefixes")
+    x, y = (known.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for na, nb, pa_, pb in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("pa"), b.column("pb"), strict=True):
+                u, v = pa_.values.to_numpy(), pb.values.to_numpy()
+                end = min(u[-1], v[-1])
+                cu, cv = np.searchsorted(u, end, "right"), np.searchsorted(v, end, "right")
+                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                ok.append(bool(9 * (int((v[at] == u).sum()) + min(na - cu, nb - cv)) >= 4 * (na + nb)))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, ws: Workspace, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose sets' similarity is 4/5 or more."""
-    ids = ws.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node"), f"{name}-ids")
-    texts = docs.join(ids.select(F.col("least").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    """Those of the pairs (a, b) whose sets' similarity is 4/5 or more. nodes: (node, least) with a row of each set."""
+    ids = ws.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("least.doc_id").alias("id")), "node"), f"{name}-ids")
+    texts = docs.join(ids.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column("text"):
-                own = shingles(t.as_py(), shingle)
-                yield pa.RecordBatch.from_arrays([_signed([_node(own)]), pa.array([own.tobytes()], pa.binary())], names=["node", "keys"])
+                own = keys(hashes(t.as_py(), shingle))
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["node", "keys"])
 
     sets = texts.mapInArrow(run, "node long, keys binary").join(ids.select("node"), "node", "left_semi")
     sets = ws.save(sets.dropDuplicates(["node"]), f"{name}-sets")
@@ -173,7 +248,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, w
         for b in batches:
             ok = []
             for x, y in zip(b.column("left"), b.column("right"), strict=True):
-                x, y = (np.frombuffer(k.as_buffer(), np.uint64) for k in (x, y))
+                x, y = (np.frombuffer(k.as_buffer(), np.int64) for k in (x, y))
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 ok.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -181,30 +256,6 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, w
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, name: str = "jaccard", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, component_id, the least doc_id of its class.
-
-    Texts are linked if their sets of shingles have a Jaccard similarity of 0.8 or more; a class is all that links reach.
-    Texts without words (null, empty, white space) are alike. Exact but for a collision of 64-bit hashes. A null
-    identifier never names a class unless all of the class is null.
-    """
-    ws = Workspace(docs.sparkSession, name)
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    own = ws.save(prefixes(docs, shingle), "prefixes")
-    posts = own.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "node", "n", "pos")
-    posts = ws.save(shared_by_two(posts), "posts")
-    ws.release()
-    nodes = ws.save(own.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    alike = (F.least("n", "pivot_n") * 5 >= F.greatest("n", "pivot_n") * 4) & (F.col("node") != F.col("pivot"))
-    one = ws.save(posts.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs-1")
-    links = ws.save(similar(one, nodes, docs, shingle, ws, "1"), "links-1")
-    classes = components(ws, links, "cc-1")
-    posts = posts.join(classes, "node", "left").select("tok", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
-    two = ws.save(between_classes(posts).join(one, ["a", "b"], "left_anti"), "pairs-2")
-    ws.drop("posts", "1-sets")
-    links = ws.save(links.union(similar(two, nodes, docs, shingle, ws, "2")), "links-2")
-    ws.release()
-    part = ws.save(nodes.join(components(ws, links, "cc-2"), "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "parts")
-    best = part.groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = ws.save(part.join(best, "comp").select("node", "component_id"), "classes")
-    return own.join(classes, "node").select("doc_id", "component_id")
+def least_row() -> Column:
+    """Of rows (doc_id, text_key), the least, null identifiers last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))

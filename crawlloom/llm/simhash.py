@@ -7,19 +7,25 @@ executors, the fingerprints of both nodes, which go on with the same walk, level
 nodes only a spanning forest of the links comes back (equal classes, fewer rows), and what already lies in one class is
 passed over, so a cluster of n texts costs n rows and far fewer steps than n squared. The classes are the connected
 components of these forests.
+
+near_duplicates() links fingerprints by their differing bits alone. near_copies() asks for a similarity of 0.8 of the
+sets of shingles, at which about 10 of 64 bits differ: too many for the trie to prune by. There the join proposes pairs,
+whole sets decide, and a prefix filter (jaccard.py) finds the links that the bits don't show.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import Workspace, components
+from .jaccard import _LOWER, _WORDS
 
 #: Distinct fingerprints that a node at the cut should hold at most.
 NODE_KEYS = 4096
@@ -32,8 +38,14 @@ LEAF_PAIRS = 24
 #: Pairs of nodes that are walked at once.
 FRONT = 1 << 18
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have."""
+    total, size = np.zeros(64, np.int64), 1 << 14
+    for at in range(0, len(hashes), size):
+        h = hashes[at : at + size].astype(">u8")
+        total += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -53,13 +65,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     f = xxhash.xxh64_intdigest
-    total, at, size = np.zeros(64, np.int64), 0, 1 << 14
-    starts, ends = starts.tolist(), ends.tolist()
-    while at < len(starts):
-        h = np.array([f(body[i:j], seed) for i, j in zip(starts[at : at + size], ends[at : at + size], strict=True)], ">u8")
-        total += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        at += size
-    return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
+    return majority(np.fromiter((f(body[i:j], seed) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -93,16 +99,15 @@ def cut(counts: dict[int, int], most: int, bits: int = CUT_BITS) -> list[tuple[i
     return out
 
 
-def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
+def node_pairs(nodes: list[tuple[int, int]], budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of nodes (each with itself, too) whose paths differ in `budget` bits at most, as far as both go."""
-    depth = np.array([d for d, _ in nodes])
+    depth = np.array([d for d, _ in nodes], np.int64)
     path = np.array([p << (CUT_BITS - d) for d, p in nodes], np.uint64)
-    out = []
+    near = [np.zeros(0, np.int64)]
     for i in range(len(nodes)):
         common = np.uint64(CUT_BITS) - np.minimum(depth[i], depth[i:]).astype(np.uint64)
-        j = np.flatnonzero(np.bitwise_count((path[i] ^ path[i:]) >> common) <= budget)
-        out += [(i, i + int(x)) for x in j]
-    return out
+        near.append(i + np.flatnonzero(np.bitwise_count((path[i] ^ path[i:]) >> common) <= budget))
+    return np.repeat(np.arange(len(nodes)), np.array([len(x) for x in near[1:]], np.int64)), np.concatenate(near)
 
 
 def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -197,12 +202,12 @@ def linked(fps: DataFrame, ws: Workspace, budget: int = 4) -> DataFrame:
         sizes[node] += counts[path]
     parts = [-(-n // most) for n in sizes]  # a node at the cut's last level may hold more than one block
     first = (np.cumsum(parts) - parts).tolist()
-    tasks = []
-    for i, j in node_pairs([x[1:] for x in spans], budget):
-        own = [(first[i] + x, first[j] + y) for x in range(parts[i]) for y in range(parts[j])]
-        tasks += [x for x in own if i != j or x[0] <= x[1]]
-    where = spark.createDataFrame([(path, first[n], parts[n]) for path, n in node_of.items()] or [(0, 0, 1)], "top int, first long, parts long")  # 2**16 rows at most
-    pairs = spark.createDataFrame(tasks or [(0, 0)], "left long, right long")
+    left, right = node_pairs([x[1:] for x in spans], budget)
+    where = spark.createDataFrame([(path, n, first[n], parts[n]) for path, n in node_of.items()] or [(0, 0, 0, 1)], "top int, node long, first long, parts long")  # 2**16 rows at most
+    pairs = spark.createDataFrame(pd.DataFrame({"i": left, "j": right}), "i long, j long")
+    own = where.select("node", F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.col("first") + k).alias("blocks")).distinct()
+    pairs = pairs.join(F.broadcast(own.withColumnsRenamed({"node": "i", "blocks": "l"})), "i").join(F.broadcast(own.withColumnsRenamed({"node": "j", "blocks": "r"})), "j")
+    pairs = pairs.select("i", "j", F.explode("l").alias("left"), "r").select("i", "j", "left", F.explode("r").alias("right")).where("i <> j or left <= right").select("left", "right")
     block = (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("block")
     blocks = fps.withColumn("top", top).join(F.broadcast(where), "top").select(block, "fp").groupBy("block").agg(F.collect_list("fp").alias("keys"))
     blocks = ws.save(blocks, "blocks")  # `most` fingerprints or so in each
@@ -241,6 +246,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, name: st
     ws.release()
     comps = components(ws, edges).withColumnRenamed("node", "fp")
     part = ws.save(fps.join(comps, "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp")), "parts")
-    best = part.groupBy("comp").agg(F.min("least").alias("component_id"))
+    best = ws.save(part.groupBy("comp").agg(F.min("least").alias("component_id")), "best")  # a table on either side of the join, so that Spark can split a large class
     classes = ws.save(part.join(best, "comp").select("fp", "component_id"), "classes")
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, budget: int = 4, name: str = "near-copies", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, text_key (xxhash64 of its text), component_id, kept.
+
+    Texts are linked if their sets of shingles have a Jaccard similarity of 0.8 or more; a class is all that links reach.
+    Of each class the row with the least (doc_id, text_key) is kept and names it by its doc_id; rows that repeat both
+    are all marked. Texts without words (null, empty, white space) are alike. Exact but for a collision of 62-bit
+    hashes. A null identifier never names a class unless all of the class is null. An empty table gives no rows; other
+    columns are ignored.
+
+    Candidates come in two rounds, so that a large group of copies costs no square of its size: first those of the trie
+    join (fingerprints at `budget` bits or fewer) and each text of a prefix shingle with one of them; then, when those
+    links have made classes, the pairs that share a prefix shingle and lie in different classes.
+    """
+    ws = Workspace(docs.sparkSession, name)
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    own = ws.save(jaccard.prefixes(docs, shingle, majority), "prefixes")
+    posts = own.where("prefix is not null").select(F.explode("prefix").alias("tok"), "node", "n")
+    posts = ws.save(jaccard.shared_by_two(posts), "posts")
+    ws.release()
+    nodes = ws.save(own.groupBy("node").agg(jaccard.least_row().alias("least"), F.min("n").alias("n"), F.min("last").alias("last"), F.min("fp").alias("fp")), "nodes")
+    fps = ws.save(nodes.groupBy("fp").agg(F.min("node").alias("first")), "distinct")
+    alike = (F.least("n", "pivot_n") * 5 >= F.greatest("n", "pivot_n") * 4) & (F.col("node") != F.col("pivot"))
+    one = posts.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    one = one.union(nodes.join(fps, "fp").where("node <> first").select("first", "node"))
+    near = ws.save(linked(fps.select("fp"), ws, budget), "links-0").select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    near = near.join(fps.select(F.col("fp").alias("fa"), F.col("first").alias("a")), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("first").alias("b")), "fb")
+    one = one.union(near.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = ws.save(jaccard.by_prefixes(ws.save(one, "pairs-1"), own, ws, "1"), "likely-1")
+    links_1 = ws.save(jaccard.similar(one, nodes, docs, shingle, ws, "1"), "links-1")
+    ws.drop("blocks", "pairs-1", "1-nodes", "1-prefixes", "1-ids", "1-sets")
+    classes = components(ws, links_1, "cc-1")
+    posts = posts.join(classes, "node", "left").select("tok", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    two = jaccard.possible(ws.save(jaccard.between_classes(posts), "pairs-2"), nodes).join(one, ["a", "b"], "left_anti")
+    two = ws.save(two, "likely-2")
+    ws.drop("posts", "pairs-2")
+    links = ws.save(links_1.union(jaccard.similar(two, nodes, docs, shingle, ws, "2")), "links-2")
+    ws.drop("2-ids", "2-sets")
+    ws.release()
+    part = ws.save(nodes.join(components(ws, links, "cc-2"), "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "parts")
+    best = ws.save(part.groupBy("comp").agg(F.min("least").alias("best")), "best")
+    classes = ws.save(part.join(best, "comp").select("node", "best"), "classes")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    return own.select("doc_id", "text_key", "node").join(classes, "node").select("doc_id", "text_key", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
