@@ -1,6 +1,10 @@
 """URL functions as Column builders: split, resolve, scope, clean and canonicalise, all inside the JVM.
 
 A URL that can't be read is null. White space, ports, dots and queries are treated as Python's urllib treats them.
+
+Most links of a site are plain: an absolute path, or a whole URL, of ordinary characters without dot segments, ports or
+escapes. Those are taken apart by a few expressions that Spark compiles; only the others go through the general steps,
+whose lambdas it interprets. Both give the same results.
 """
 
 from __future__ import annotations
@@ -29,6 +33,14 @@ _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_PLAIN_HOST = r"([a-z0-9.\-]+)"
+_PLAIN_PATH = r"(/(?:[A-Za-z0-9_~\-]+/)*(?:[A-Za-z0-9_~\-]+(?:\.[A-Za-z0-9]+)?)?)"
+_PLAIN_END = r"(?:\?([\x21\x22\x24-\x7e]*))?(?:#[\x21-\x7e]*)?\z"
+#: Groups: scheme, host, path, query. Of a link, with a host or a path; and of a page, whose path may be any.
+_PLAIN_LINK = rf"^(?=[h/])(?:(https?)://{_PLAIN_HOST})?(?:{_PLAIN_PATH}|(?=[?#]|\z)){_PLAIN_END}"
+_PLAIN_PAGE = rf"^(https?)://{_PLAIN_HOST}((?:/[\x21\x22\x24-\x3e\x40-\x7e]*)?)(?:[?#][\x21-\x7e]*)?\z"
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is worked out once, however often f uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -185,7 +197,11 @@ class ScopeColumns:
             prefix = F.regexp_extract(path, r"^(.*/)[^/]*$", 1) if restrict_to_path else F.lit("/")
             return F.struct(p.scheme.alias("scheme"), F.when(good, p.host).alias("host"), p.port.alias("port"), prefix.alias("prefix"))
 
-        return ScopeColumns.at(let(let(tidy(url), lambda u: Parts.of(u).struct()), read), subdomains)
+        slow, plain = let(let(tidy(url), lambda u: Parts.of(u).struct()), read), url.rlike(_PLAIN_PAGE)
+        path = F.regexp_extract(url, _PLAIN_PAGE, 3)
+        prefix = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)[^/]*$", 1)) if restrict_to_path else F.lit("/")
+        fast = (F.regexp_extract(url, _PLAIN_PAGE, 1), F.regexp_extract(url, _PLAIN_PAGE, 2), F.lit(None).cast("int"), prefix)
+        return ScopeColumns(*[F.when(plain, x).otherwise(slow[n]) for x, n in zip(fast, ("scheme", "host", "port", "prefix"), strict=True)], subdomains)
 
     def struct(self) -> Column:
         return F.struct(self.scheme.alias("scheme"), self.host.alias("host"), self.port.alias("port"), self.prefix.alias("prefix"))
@@ -222,7 +238,7 @@ def _context(page: Column, scope: ScopeColumns) -> Column:
 
 def _in_context(
     href: Column, context: Column, subdomains: bool, strip_params: tuple[str, ...] = TRACKING_PARAMS, keep_query: bool = True,
-    hash_routing: bool = False, assets: tuple[str, ...] = ASSET_SUFFIXES, exclude: tuple[str, ...] = (),
+    hash_routing: bool = False, assets: tuple[str, ...] = ASSET_SUFFIXES,
 ) -> Column:
     scope = ScopeColumns.at(context["scope"], subdomains)
 
@@ -249,11 +265,19 @@ def _in_context(
     out = F.when(strip(href) != "", tidy(href))
     for step in (lambda link: Parts.of(link).struct(), resolve, clean, join):
         out = let(out, step)
-    for pattern in exclude:
-        out = let(out, _unless(pattern))
     return out
 
 
+def _plainly(href: Column, page: Column, scope: ScopeColumns, strip_params: tuple[str, ...], keep_query: bool, assets: tuple[str, ...]) -> Column:
+    """As the general steps, for a plain link on a plain page."""
+    part = lambda k: F.regexp_extract(href, _PLAIN_LINK, k)
+    host = F.when(part(1) == "", F.regexp_extract(page, _PLAIN_PAGE, 2)).otherwise(part(2))
+    path = F.when(part(3) == "", F.lit("/")).otherwise(part(3))
+    query = F.when(part(4) == "", F.lit("")).otherwise(clean_query(part(4), strip_params)) if keep_query else F.lit("")
+    query = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
+    return F.when(scope.holds_host(host) & scope.port.isNull() & path.startswith(scope.prefix) & ~is_asset(path, assets), F.concat(scope.scheme, F.lit("://"), host, path, query))
+
+
 def canonical(href: Column, page: Column, scope: ScopeColumns, **how) -> Column:
     """The canonical URL of a link on a page inside a scope, or null for one that isn't followed.
 
@@ -261,7 +285,24 @@ def canonical(href: Column, page: Column, scope: ScopeColumns, **how) -> Column:
     pages, and results that an exclude pattern (a Java regular expression) finds itself in. The scope's scheme replaces
     the link's. A fragment stays only with hash_routing, where it begins with / or !.
     """
-    return let(_context(page, scope), lambda context: _in_context(href, context, scope.subdomains, **how))
+    return _either(href, page, scope, let(_context(page, scope), lambda context: _in_context(href, context, scope.subdomains, **_general(how))), **how)
+
+
+def _general(how: dict) -> dict:
+    return {k: x for k, x in how.items() if k != "exclude"}
+
+
+def _either(
+    href: Column, page: Column, scope: ScopeColumns, slow: Column, strip_params: tuple[str, ...] = TRACKING_PARAMS, keep_query: bool = True,
+    hash_routing: bool = False, assets: tuple[str, ...] = ASSET_SUFFIXES, exclude: tuple[str, ...] = (),
+) -> Column:
+    plain = href.rlike(_PLAIN_LINK) & page.rlike(_PLAIN_PAGE)
+    if hash_routing:
+        plain &= ~F.contains(href, F.lit("#"))
+    out = F.when(plain, _plainly(href, page, scope, strip_params, keep_query, assets)).otherwise(slow)
+    for pattern in exclude:
+        out = let(out, _unless(pattern))
+    return out
 
 
 def _unless(pattern: str) -> Callable[[Column], Column]:
@@ -272,7 +313,21 @@ def canonical_all(hrefs: Column, page: Column, scope: ScopeColumns, **how) -> Co
     """The distinct canonical URLs of an array of links, in the order in which they are first met."""
 
     def follow(context: Column) -> Column:
-        targets = F.transform(hrefs, lambda h: _in_context(h, context, scope.subdomains, **how))
+        own = ScopeColumns.at(context["scope"], scope.subdomains)
+        targets = F.transform(hrefs, lambda h: _either(h, page, own, _in_context(h, context, scope.subdomains, **_general(how)), **how))
         return F.array_distinct(F.filter(targets, lambda u: u.isNotNull()))
 
     return let(_context(page, scope), follow)
+
+
+def absolute(href: Column, page: Column) -> Column:
+    """The whole URL that a reference on a page stands for, as it is written; null for one that can't be read."""
+
+    def whole(x: Column) -> Column:
+        p, readable = resolved(Parts.at(x["link"]), Parts.at(x["at"]))
+        tail = F.concat(F.when(p.query != "", F.concat(F.lit("?"), p.query)).otherwise(F.lit("")), F.when(p.fragment != "", F.concat(F.lit("#"), p.fragment)).otherwise(F.lit("")))
+        start = F.concat(F.when(p.scheme != "", F.concat(p.scheme, F.lit(":"))).otherwise(F.lit("")), F.when(p.has_netloc, F.concat(F.lit("//"), p.netloc)).otherwise(F.lit("")))
+        return F.when(readable, F.concat(start, p.path, tail))
+
+    both = F.struct(let(tidy(href), lambda u: Parts.of(u).struct()).alias("link"), let(tidy(page), lambda u: Parts.of(u).struct()).alias("at"))
+    return let(both, whole)

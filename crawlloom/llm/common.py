@@ -29,11 +29,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
+    """Tables written to the shared folder: they cut lineage and survive the loss of executors.
 
-    def __init__(self, spark: SparkSession, name: str):
+    A result is read from the tables that are left, so a workspace stays until close(), or close_workspaces() for all of
+    this process. folder: a fixed place instead, which a later process can take up again.
+    """
+
+    opened: list[Workspace] = []
+
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/crawlloom/{name}-{uuid.uuid4().hex}"
+        self.path = folder or f"{shared_root(spark)}/crawlloom/{name}-{uuid.uuid4().hex}"
+        if folder is None:
+            Workspace.opened.append(self)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def at(self, name: str) -> str:
@@ -45,12 +53,25 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _place(self, path: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read again."""
-        sc = self.spark.sparkContext
         for name in names:
-            p = sc._jvm.org.apache.hadoop.fs.Path(self.at(name))
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            files, p = self._place(self.at(name))
+            files.delete(p, True)
+
+    def exists(self, name: str) -> bool:
+        files, p = self._place(self.at(name))
+        return files.exists(p)
+
+    def close(self) -> None:
+        """Delete all of it; results that read from it can't be read again."""
+        files, p = self._place(self.path)
+        files.delete(p, True)
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs now rather than at some later collection."""
@@ -58,6 +79,12 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def close_workspaces(since: int = 0) -> None:
+    """Delete the workspaces opened by this process, after the first `since`, once their results have been read."""
+    while len(Workspace.opened) > since:
+        Workspace.opened.pop().close()
+
+
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; a null counts as empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -30,7 +30,7 @@ from .common import Workspace, slices, text_buffer, tokenizer_path
 from .encode import encoder, with_end
 
 SEQUENCE = 2048
-#: Tokens of a window in which the mixture is held: 64 sequences.
+#: Tokens of a window in which the mixture is held: 64 sequences, and one for each queue where there are more.
 WINDOW = 64 * SEQUENCE
 #: Sums of tokens, by window and queue, that a task keeps at most.
 SUMS = 1 << 23
@@ -134,11 +134,13 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc
     return rows.mapInArrow(run, "doc_id long, queue string, part int, ordinal long, start long, doc_tokens long, first long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequence: int = SEQUENCE, window: int = WINDOW, weights: dict[str, float] | None = None, name: str = "packing", **columns: str) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequence: int = SEQUENCE, window: int | None = None, weights: dict[str, float] | None = None, name: str = "packing", **columns: str) -> DataFrame:
     """One row for each piece of a document; see OUT. ids: the piece's, as little-endian unsigned 32-bit integers.
 
     A null or empty text is just end_id; a null source is a queue of its own, named ''. Repeated rows are packed as
-    often as they come, in the order of their texts. An empty table gives no rows. sequence_id and offset are gapless.
+    often as they come, in the order of their texts. An empty table gives no rows; other columns are ignored.
+    sequence_id and offset are gapless. window: by default wide enough that a queue's share of it is a sequence in the
+    mean, however many queues there are, so that documents aren't cut into scraps.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     ws = Workspace(spark, name)
@@ -150,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequenc
     for r in parts:
         base[r["part"], r["queue"]] = sizes.get(r["queue"], 0)
         sizes[r["queue"]] = sizes.get(r["queue"], 0) + r["n"]
-    plan = Schedule(sizes, weights, window)
+    plan = Schedule(sizes, weights, window or max(WINDOW, len(sizes) * sequence))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, kind = {q: i for i, q in enumerate(plan.names)}, np.dtype("<u4" if wide else "<u2")

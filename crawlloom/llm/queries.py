@@ -26,24 +26,35 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round(F.element_at("tails", 1), 6).alias("p_above_0"), F.round(F.element_at("tails", 2), 6).alias("p_above_1"), "selected")
 
 
-#: One record in so many of the audited replica has a byte changed before it is written.
+#: One record in so many of the audited replica has a stored byte changed.
 ROT = 97
 
 
+def _rot(content: bytes) -> bytes:
+    """An archive file with damage in the middle of some records: those of pages whose number ROT divides and whose body
+    begins with an ASCII character other than ~."""
+    data = bytearray(content)
+    for at, end, own in warc.records_of(content):
+        page, body = warc.page_of(own), own.partition(b"\r\n\r\n")[2]
+        if page is not None and page % ROT == 0 and body and body[0] < 128 and body[:1] != b"~":
+            data[(at + end) // 2] ^= 0x20
+    return bytes(data)
+
+
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two replicas of all pages are written, one of them with changed bytes, and read back and audited. Every record
-    with its length, its digest in the sound replica, and whether the audit has found it damaged in the other."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    """All pages are written to an archive, which is copied byte for byte but for planted damage to stored bytes; both
+    are read back and audited. Every record with its length, its digest in the sound replica, and whether the audit has
+    found it damaged in the other (extra: a record that only that one has)."""
     ws = Workspace(spark, "warc")
-    html = F.coalesce("html", F.lit(""))
-    rotten = F.when((F.pmod("page_id", F.lit(ROT)) == 0) & (F.ascii(html) < 128), F.overlay(html, F.lit("~"), F.lit(1), F.lit(1))).otherwise(html)
-    warc.write_warc(pages, ws.at("a"))
-    warc.write_warc(pages.withColumn("html", F.when(html == "", html).otherwise(rotten)), ws.at("b"))
+    warc.write_warc(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), ws.at("a"))
     ws.release()
+    warc.copy_replica(spark, ws.at("a"), ws.at("b"), _rot)
     left, right = (ws.save(warc.read_warc(spark, ws.at(x)), f"records-{x}") for x in "ab")
-    damage = warc.audit(left, right, ws).select("file", "offset", "status")
-    out = left.join(damage, ["file", "offset"], "left")
-    return out.select("page_id", F.col("length").alias("n_bytes"), F.col("sha256").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+    ws.drop("a", "b")
+    damage = ws.save(warc.audit(left, right, ws), "damage")
+    of = lambda rows, at, kind: rows.join(damage.select("file", F.col(at).alias("offset"), "status"), ["file", "offset"], kind)
+    every = of(left, "left_offset", "left").unionByName(of(right, "right_offset", "inner").where("status = 'extra'"))
+    return every.select("page_id", F.col("length").alias("n_bytes"), F.col("sha256").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +82,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
     ws = Workspace(spark, "chat")
-    rows = ws.save(chat.render(chat.messages(chat.log_of(turns))), "formatted")
+    rows = ws.save(chat.render(chat.messages(chat.log_of(turns, revised=True))), "formatted")
     rows = rows.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("learnt", chat.masked(F.col("formatted"), F.col("loss")))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(

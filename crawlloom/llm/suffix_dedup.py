@@ -5,7 +5,8 @@ at p + L), and lets go of positions whose name is unique, until the threshold is
 
 * the names are 64-bit mixes of pairs, made where the text is, for lengths 8, 16, 32, 64, 128 and 200: a pair of names
   needs no join, and equal strings have equal names wherever they are. Ranks by a global sort would serve the same end
-  (telling equal from unequal), but cost a shuffle of every byte position for every doubling;
+  (telling equal from unequal), but cost a shuffle of every byte position for every doubling. Names only ever tell that
+  strings differ; that they are equal is told by a cryptographic digest (BLAKE2b, 128 bits) of their bytes;
 * the first shuffled round, at length 64, is held only at anchors: of each window of 200 bytes, the 64 bytes whose name
   is least (leftmost of equal ones). Equal windows have equal anchors at equal places, so a window whose anchor's name
   is unique in the corpus is unique too. Windows that follow each other and share an anchor are one row (a run), about
@@ -21,11 +22,12 @@ equal to.
 
 Rows leave as soon as their name is unique or they are past the threshold. Counts are summed up before they are dealt,
 and rows get their counts by joins that Spark can split, so a passage that a third of the documents hold makes no task
-larger. Names of runs and windows are compared over 128 bits.
+larger.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,8 +45,8 @@ GRID = 16
 #: Bytes that are named at once; a longer text is cut into blocks that overlap by a window less a byte.
 BLOCK = 1 << 20
 #: Rows of a round: n windows from the byte a of a text, d their anchor's distance; m the name by which they are told
-#: unique, c that of all their bytes; w is 2 for one that is known to be repeated.
-ROWS = "doc_id long, tkey long, a long, n int, d int, m long, c long, w int"
+#: unique, c and e the halves of the digest of all their bytes; w is 2 for one that is known to be repeated.
+ROWS = "doc_id long, tkey long, a long, n int, d int, m long, c long, e long, w int"
 _PLACE = np.uint64(BLOCK - 1)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _powers = Powers()
@@ -96,8 +98,15 @@ def sums(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def strong(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Cryptographic digests of the bytes start … end - 1, two integers each: equal ones mean equal bytes."""
+    view, f = memoryview(np.ascontiguousarray(buf)), hashlib.blake2b
+    found = b"".join([f(view[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
+
+
 def digest(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A polynomial digest of the bytes start … end - 1, from the sums of the whole."""
+    """A name of the bytes start … end - 1, from the sums of the whole: a polynomial, which tells strings apart in the main."""
     _, down = _powers.to(len(s))
     x = (s[end] - s[start]) * down[start] + (end - start).astype(np.uint64) * _C2
     x ^= x >> np.uint64(29)
@@ -107,13 +116,13 @@ def digest(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def runs(buf: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor, in a block of texts that begin at `starts`.
 
-    Gives (text, first window, number of windows, how far on the anchor is, its name, digest of all bytes), by run.
+    Gives (text, first window, number of windows, how far on the anchor is, its name, digests of all bytes), by run.
     """
     n = len(buf)
     name = names(buf, ANCHOR)
     width = window - ANCHOR + 1
     if n < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     least = (name & ~_PLACE) | np.arange(len(name), dtype=np.uint64)  # the place decides between equal names
     size = 1
     while size * 2 <= width:
@@ -133,11 +142,11 @@ def runs(buf: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new)
     stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
     text = np.searchsorted(starts, first, "right") - 1
-    return text, first, stop - first, anchor[first] - first, name[anchor[first]], digest(sums(buf), first, stop + window - 1)
+    return text, first, stop - first, anchor[first] - first, name[anchor[first]], strong(buf, first, stop + window - 1)
 
 
 def all_runs(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tkey, a, n, d, m, c, w) for each run; tkey tells texts with one identifier apart."""
+    """ROWS for each run; tkey tells texts with one identifier apart."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,29 +157,29 @@ def all_runs(docs: DataFrame, window: int) -> DataFrame:
                 text, first, n, d, m, c = runs(buf[at:to], starts, window)
                 row = which[text]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(row)), b.column("tkey").take(pa.array(row)), pa.array(first + at - offs[row]), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.ones(len(n), np.int32))],
-                    names=["doc_id", "tkey", "a", "n", "d", "m", "c", "w"],
+                    [b.column("doc_id").take(pa.array(row)), b.column("tkey").take(pa.array(row)), pa.array(first + at - offs[row]), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(np.ones(len(n), np.int32))],
+                    names=["doc_id", "tkey", "a", "n", "d", "m", "c", "e", "w"],
                 )
 
     return docs.mapInArrow(run, ROWS)
 
 
 def grid(s: np.ndarray, part: np.ndarray, a: np.ndarray, n: np.ndarray, d: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Blocks of runs (a, n, d): which run, first window, number of windows, distance, and their two names."""
+    """Blocks of runs (a, n, d): which run, first window, number of windows, distance, name and digests."""
     low = d - n + 1  # the anchor's least place in a window
     size = d // GRID - low // GRID + 1
     run = np.repeat(np.arange(len(a)), size)
     k = ranges(low // GRID, size)
     p, hi, lo = (a + d)[run], np.minimum(d[run], k * GRID + GRID - 1), np.maximum(low[run], k * GRID)
     core = digest(s, p - k * GRID, p - k * GRID - GRID + 1 + window) ^ (k.astype(np.uint64) * _C3)
-    return run, p - hi, hi - lo + 1, hi, core, digest(s, p - hi, p - lo + window)
+    return run, p - hi, hi - lo + 1, hi, core, strong(part, p - hi, p - lo + window)
 
 
 def single(s: np.ndarray, part: np.ndarray, a: np.ndarray, n: np.ndarray, d: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """The windows of blocks, as grid() gives blocks of runs."""
     run = np.repeat(np.arange(len(a)), n)
     at = ranges(a, n)
-    return run, at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64), names(part, window)[at], digest(s, at, at + window)
+    return run, at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64), names(part, window)[at], strong(part, at, at + window)
 
 
 def finer(texts: DataFrame, window: int, cut) -> DataFrame:
@@ -196,9 +205,9 @@ def finer(texts: DataFrame, window: int, cut) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").take(pa.array(own)), b.column("tkey").take(pa.array(own)), pa.array(first + at - offs[own]), pa.array(count.astype(np.int32)), pa.array(far.astype(np.int32)),
-                        pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(w[lo:hi][which].astype(np.int32)),
+                        pa.array(m.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(w[lo:hi][which].astype(np.int32)),
                     ],
-                    names=["doc_id", "tkey", "a", "n", "d", "m", "c", "w"],
+                    names=["doc_id", "tkey", "a", "n", "d", "m", "c", "e", "w"],
                 )
                 lo = hi
 
@@ -220,7 +229,7 @@ def decide(ws: Workspace, rows: DataFrame, name: str, last: bool = False) -> tup
         ws.release()
     else:
         shared = every
-    key = ["m", "c", "n"]
+    key = ["m", "c", "e", "n"]
     if last:
         twice = ws.save(shared.groupBy(*key).agg(F.sum("w").alias("rows")).where("rows > 1").select(*key), f"{name}-twice")
         ws.release()
@@ -244,13 +253,15 @@ def remove_repeats(docs: DataFrame, window: int = 200, name: str = "suffix", id_
     A byte is removed if a string of `window` bytes covers it that also starts anywhere else in the table, be it in
     the same text; the strings may overlap, don't cross texts, and are judged on the input. A null text is empty, and
     texts shorter than the window are kept whole. Two rows with the same identifier and text are two places: such
-    texts, where long enough, are removed in both. A kept text may be cut inside a character, so it is bytes.
+    texts, where long enough, are removed in both. Rows without an identifier are told apart by their texts. A kept text
+    may be cut inside a character, so it is bytes. An empty table gives no rows; other columns are ignored.
     """
     if window < 2 * ANCHOR:
         raise ValueError(f"the window must be {2 * ANCHOR} bytes at least")
     ws = Workspace(docs.sparkSession, name)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+    own = F.col(id_column).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), F.xxhash64(text, own.isNull()).alias("tkey"), text.alias("text"), own.isNull().alias("none"))
     key = ["doc_id", "tkey"]
 
     def beside(texts: DataFrame, checks: DataFrame, number: str) -> DataFrame:
@@ -289,7 +300,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, name: str = "suffix", id_
                 kept.append(own[~gone].tobytes())
                 spans.append([{"start": int(x), "length": int(y - x)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offs)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("none"), pa.array(np.diff(offs)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "none", "n_bytes", "spans", "kept"])
 
-    out = rows.join(spans, key, "left").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"))
+    out = rows.join(spans, key, "left").mapInArrow(cut, "doc_id long, none boolean, n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
+    return out.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_bytes", "spans", "kept")

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +95,36 @@ def _after(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
+def parse_rules(lines: Iterable[str]) -> Iterator[Rule]:
+    """Rules of a list, one a line: `host/path` or a pattern, which block, or allow with `@@` before them. Blank lines and
+    comments (`!`) are left out."""
+    for line in lines:
+        line = line.strip()
+        if not line or line.startswith("!"):
+            continue
+        verdict, body = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+        host, slash, path = body.partition("/")
+        if slash and host and not set(host) & set("|^*"):
+            yield Rule(verdict, host.translate(_LOWER), f"/{path}")
+        else:
+            yield Rule(verdict, pattern=body)
+
+
+class Expressions:
+    """Regular expressions by number, each compiled when it is first asked for."""
+
+    def __init__(self, sources: list[str]):
+        self.sources, self.ready = sources, {}
+
+    def __getitem__(self, k: int) -> re.Pattern:
+        if k not in self.ready:
+            self.ready[k] = re.compile(self.sources[k])
+        return self.ready[k]
+
+    def __getstate__(self) -> dict:
+        return {"sources": self.sources, "ready": {}}
+
+
 class RuleIndex:
     """Rules by their rarest token. counts: how many URLs hold each token (missing: none)."""
 
@@ -101,7 +132,7 @@ class RuleIndex:
         self.always: list[int] = []
         self.by_token: dict[str, list[int]] = {}
         self.rules = rules
-        self.regex = [re.compile(r.regex) for r in rules]
+        self.regex = Expressions([r.regex for r in rules])
         for k, r in enumerate(rules):
             if r.tokens:
                 self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(k)
@@ -136,7 +167,8 @@ def token_counts(pages: DataFrame, rules: list[Rule], url_column: str = "url") -
         return {}
     url = F.col(url_column)
     tokens = F.array_distinct(F.split(F.lower(F.concat(host_of(url), path_of(url))), "[^a-z0-9]+"))
-    rows = pages.select(F.explode(F.array_intersect(tokens, F.lit(wanted))).alias("token"))
+    known = pages.sparkSession.createDataFrame(pd.DataFrame({"token": wanted}), "token string")  # those of a block of rules
+    rows = pages.select(F.explode(tokens).alias("token")).join(F.broadcast(known), "token")
     return {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a token of the block
 
 

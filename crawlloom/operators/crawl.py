@@ -49,9 +49,9 @@ def redirect_target(url: Column, final: Column, scope: ScopeColumns, **how) -> C
     return let(canonical(final, url, scope, **how), lambda target: F.when((final != url) & (target != url), target))
 
 
-def canonical_target(owner: Column, link: Column, scope: ScopeColumns, **how) -> Column:
-    """The in-scope URL, other than owner, that a page names as canonical; else null."""
-    return let(canonical(link, owner, scope, **how), lambda target: F.when(target != owner, target))
+def canonical_target(owner: Column, link: Column, scope: ScopeColumns, base: Column | None = None, **how) -> Column:
+    """The in-scope URL, other than owner, that a page names as canonical; else null. base: see fetch_log()."""
+    return let(canonical(link, owner if base is None else base, scope, **how), lambda target: F.when(target != owner, target))
 
 
 @dataclass(frozen=True)
@@ -79,19 +79,21 @@ FETCHES = "site, url, attempt, final, target, links, canonical_target, fault, re
 
 
 def fetch_log(log: DataFrame, scope: ScopeColumns, respect_canonical: bool = True, **how) -> DataFrame:
-    """A log (site, url, attempt, final_url, links, canonical, fault, retryable, message[, allowed]) with all its URLs
-    canonical, which is the part of a crawl that can be done for all pages at once.
+    """A log (site, url, attempt, final_url, links, canonical, fault, retryable, message[, base, allowed]) with all its
+    URLs canonical, which is the part of a crawl that can be done for all pages at once.
 
+    base is what links are relative to, where that isn't final_url (a page with a base element).
     fault is null for a page that was rendered; else 'url', 'site', 'browser' or 'not-html'.
     """
     url, final, target = F.col("url"), F.col("final"), F.col("target")
     log = log.withColumn("final", F.coalesce("final_url", "url"))
     log = log.withColumn("target", F.when(final != url, canonical(final, url, scope, **how)))
     owner = F.coalesce(F.when(target != url, target), url)
+    base = F.coalesce("base", final) if "base" in log.columns else final
     allowed = F.coalesce("allowed", F.lit(True)) if "allowed" in log.columns else F.lit(True)
     return log.select(
-        "site", "url", F.col("attempt").cast("int").alias("attempt"), "final", "target", canonical_all(F.col("links"), final, scope, **how).alias("links"),
-        (canonical_target(owner, F.col("canonical"), scope, **how) if respect_canonical else F.lit(None).cast("string")).alias("canonical_target"),
+        "site", "url", F.col("attempt").cast("int").alias("attempt"), "final", "target", canonical_all(F.col("links"), base, scope, **how).alias("links"),
+        (canonical_target(owner, F.col("canonical"), scope, base=F.coalesce("base", owner) if "base" in log.columns else owner, **how) if respect_canonical else F.lit(None).cast("string")).alias("canonical_target"),
         "fault", F.coalesce("retryable", F.lit(True)).alias("retryable"), F.coalesce("message", F.lit("")).alias("message"), allowed.alias("allowed"),
     )
 

@@ -33,8 +33,10 @@ class Backoff:
     jitter: float = 0.25
 
     def __post_init__(self):
-        if self.factor < 1 or not 0 <= self.jitter <= 1:
-            raise ValueError("factor must be 1 at least, and jitter between 0 and 1")
+        if self.base < 0 or self.cap < 0:
+            raise ValueError("waits can't be negative")
+        if self.factor < 1 or not 0 <= self.jitter < 1:
+            raise ValueError("factor must be 1 at least, and jitter from 0 to below 1")
 
     def delay(self, attempt: Column, spread: Column | float = 0.5) -> Column:
         """spread: from 0 to 1, where in the jitter's range; 0.5 is its middle."""

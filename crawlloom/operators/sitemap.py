@@ -105,7 +105,7 @@ def _tree(tag: str, item: str, rows: list[tuple[str, date | None]]) -> ET.Elemen
     return root
 
 
-def write_sitemap(entries: DataFrame, path: str, base_url: str | None = None, max_urls: int = MAX_URLS, max_bytes: int = MAX_BYTES, today: date | None = None) -> Written:
+def write_sitemap(entries: DataFrame, path: str, base_url: str | None = None, max_urls: int = MAX_URLS, max_bytes: int = MAX_BYTES, today: date | None = None, allow_empty: bool = False) -> Written:
     """Write one site's entries (loc, lastmod) as sitemap files, byte for byte as the protocol has them.
 
     Entries come to the driver sorted, a file at a time. One file is written to path; several to path with -1, -2, …
@@ -129,7 +129,7 @@ def write_sitemap(entries: DataFrame, path: str, base_url: str | None = None, ma
         first = first or row["loc"]
         held.append((row["loc"], row["lastmod"]))
         total, size = total + 1, size + n
-    if not total:
+    if not total and not allow_empty:
         raise SitemapError("there are no pages to list")
     if not files:
         _put(_tree("urlset", "url", held), path)
@@ -142,6 +142,31 @@ def write_sitemap(entries: DataFrame, path: str, base_url: str | None = None, ma
     return Written(tuple(files), path, total)
 
 
-def write_sitemap_parts(entries: DataFrame, path: str) -> None:
-    """Entries as XML through Spark's own writer: a file a partition, for sites beyond what one process writes."""
-    entries.select("loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod")).write.mode("overwrite").format("xml").option("rootTag", f'urlset xmlns="{NAMESPACE}"').option("rowTag", "url").option("declaration", "version='1.0' encoding='utf-8'").save(path)
+#: Bytes that Spark's XML writer puts around an entry, at most; and that & and < take instead of one.
+PART_ENTRY_BYTES, ESCAPED = 160, 5
+
+
+def write_sitemap_parts(entries: DataFrame, path: str, base_url: str, max_urls: int = MAX_URLS, max_bytes: int = MAX_BYTES, today: date | None = None) -> int:
+    """Entries (loc, lastmod) as XML through Spark's own writer, for sites beyond what one process writes: files of
+    path/files/chunk=k, each within both limits, and their index, path/index, with addresses under base_url. Gives the
+    number of files.
+
+    Every file has so many entries that even the longest ones would fit, so that no file depends on those before it.
+    """
+    special = F.length(F.regexp_replace("loc", "[^&<>]", ""))
+    longest = entries.agg(F.max(F.octet_length("loc") + special * (ESCAPED - 1))).first()[0]
+    if longest is None:
+        raise SitemapError("there are no pages to list")
+    most = min(max_urls, (max_bytes - len(NAMESPACE) - 200) // (longest + PART_ENTRY_BYTES))
+    if most < 1:
+        raise SitemapError("an entry is larger than a file may be")
+    rows = chunk_by_count(entries.select("loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod")), most)
+    rows = rows.select("chunk", "loc", "lastmod").repartition("chunk").sortWithinPartitions("chunk", "loc")
+    tag = lambda name: f'{name} xmlns="{NAMESPACE}"'
+    xml = lambda df, root, row: df.write.mode("overwrite").format("xml").option("rootTag", tag(root)).option("rowTag", row).option("declaration", "version='1.0' encoding='utf-8'")
+    xml(rows, "urlset", "url").partitionBy("chunk").save(f"{path}/files")
+    spark = entries.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/files").select("path")
+    loc = F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_extract("path", r"(files/chunk=[^/]*/[^/]*)$", 1))
+    xml(files.select(loc.alias("loc"), F.lit((today or date.today()).isoformat()).alias("lastmod")).orderBy("loc").coalesce(1), "sitemapindex", "sitemap").save(f"{path}/index")
+    return files.count()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import date
 
@@ -15,9 +17,13 @@ from ..operators.scope import Scope, same_site
 from ..sources.config import Config, ConfigError
 
 STATE_COLUMNS = "site string, url string, status string, depth int, attempts int, link_count int, note string, visited_at timestamp, version long"
+log_of = logging.getLogger("crawlloom")
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,99}")
 
 
+_COUNTS = ("discovered", "visited", "failed", "skipped", "redirected", "duplicates", "restarts")
+
+
 class SiteError(ValueError):
     """A site that isn't there, or that holds another scope's pages."""
 
@@ -30,6 +36,7 @@ class Run:
     counts: dict
     stop_reason: str
     exit_code: int
+    rounds: int = 1
 
 
 class Project:
@@ -83,22 +90,30 @@ class Project:
 
     # -- commands ----------------------------------------------------------------------------------------------------
 
-    def new(self, config: Config, log: DataFrame, robots: Robots | None = None, name: str | None = None, discard: bool = False) -> Run:
-        """Crawl a site from its base URL. A stored site is replaced only with discard, and never by another scope's."""
+    def known(self, config: Config, name: str | None = None) -> tuple[str, int]:
+        """(a site's name, how many URLs are stored of it)."""
+        site = self.site_of(config, name)
+        return site, 0 if self._version(site) is None else self.state(site).count()
+
+    def new(self, config: Config, log: DataFrame, robots: Robots | None = None, name: str | None = None, discard: bool = False, force: bool = False, **how) -> Run:
+        """Crawl a site from its base URL. A stored site is replaced only with discard, and by another scope's only with
+        force. how: see _crawl()."""
         scope = config.scope
         site = self.site_of(config, name)
         if (version := self._version(site)) is not None:
             stored = self.meta(site).get("base_url")
-            if stored and not same_site(stored, config.base_url):
-                raise SiteError(f"{site} holds {stored}")
+            if stored and not same_site(stored, config.base_url) and not force:
+                raise SiteError(f"{site} holds {stored}, not {config.base_url}; without a name each site has a place of its own, and force overwrites this one")
             if not discard:
                 raise SiteError(f"{site} is stored already; discard it or update it")
         seeds = self.spark.createDataFrame([(site, config.base_url)], "site string, url string")
         seeds = seeds.select("site", config.policy().canonical(F.col("url"), F.col("url")).alias("url")).where("url is not null")
-        return self._crawl(config, scope, site, seeds, log, robots, (version or 0) + 1)
+        if seeds.isEmpty():
+            log_of.warning("the seed %s is outside its own scope and is left out", config.base_url)
+        return self._crawl(config, scope, site, seeds, log, robots, (version or 0) + 1, **how)
 
-    def update(self, config: Config, log: DataFrame, robots: Robots | None = None, name: str | None = None) -> Run | None:
-        """Go on with a stored crawl; None where nothing is left to do."""
+    def update(self, config: Config, log: DataFrame, robots: Robots | None = None, name: str | None = None, **how) -> Run | None:
+        """Go on with a stored crawl; None where nothing is left to do. how: see _crawl()."""
         site = self.site_of(config, name)
         state, stored = self.state(site), self.meta(site).get("base_url")
         if config.base_url is None:
@@ -107,25 +122,43 @@ class Project:
             raise SiteError(f"{site} holds {stored}")
         if not frontier.has_pending(state, config.max_attempts):
             return None
-        return self._crawl(config, config.scope, site, state, log, robots, self._version(site) + 1)
-
-    def _crawl(self, config: Config, scope: Scope, site: str, seeds: DataFrame, log: DataFrame, robots: Robots | None, version: int) -> Run:
+        return self._crawl(config, config.scope, site, state, log, robots, self._version(site) + 1, **how)
+
+    def _crawl(
+        self, config: Config, scope: Scope, site: str, seeds: DataFrame, log: DataFrame, robots: Robots | None, version: int, round_pages: int | None = None,
+        stop: Callable[[], bool] = lambda: False,
+    ) -> Run:
+        """Run a crawl and store what it comes to. round_pages: in rounds of so many pages, each stored before the next
+        one begins; between rounds stop() is asked, and a crawl that it ends has kept all that was done."""
         robots = robots if robots is not None and config.respect_robots else Robots()
         own = log.withColumn("site", F.lit(site)).withColumn("allowed", robots.allowed(F.col("url")))
         how = {"strip_params": tuple(config.strip_query_params), "keep_query": config.keep_query, "hash_routing": config.hash_routing, "exclude": tuple(config.exclude_patterns)}
         fetches = crawl.fetch_log(own, scope.columns(), config.respect_canonical, **how)
-        out = crawl.crawl_sites(seeds, fetches, config.limits(), pace=max(config.delay, robots.crawl_delay or 0.0))
-        path = f"{self.root}/runs/{site}-{version}"
-        out.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(out.schema).parquet(path)
-        pages = out.where("kind = 'page'").select("url", "status", "depth", "attempts", "link_count", "note", F.when(F.col("status") != "queued", F.current_timestamp()).alias("visited_at"))
-        self._store(site, pages, config.base_url, version)
-        row = out.where("kind = 'stats'").first().asDict()  # one row a site
-        counts = {k: row[k] for k in ("discovered", "visited", "failed", "skipped", "redirected", "duplicates", "restarts")}
-        return Run(site, counts, row["stop_reason"], row["exit_code"])
-
-    def export(self, config: Config, path: str, name: str | None = None, lastmod: str = "none", **limits: int) -> sitemap.Written:
-        """Write the site's finished pages as a sitemap. lastmod: none, visited, today, or a day as YYYY-MM-DD."""
+        limits, counts, rounds, pace = config.limits(), dict.fromkeys(_COUNTS, 0), 0, max(config.delay, robots.crawl_delay or 0.0)
+        while True:
+            left = None if limits.max_pages is None else limits.max_pages - counts["visited"]
+            most = round_pages if left is None or (round_pages is not None and round_pages < left) else left
+            out = crawl.crawl_sites(seeds, fetches, replace(limits, max_pages=most), pace=pace)
+            path = f"{self.root}/runs/{site}-{version}"
+            out.write.mode("overwrite").parquet(path)
+            out = self.spark.read.schema(out.schema).parquet(path)
+            pages = out.where("kind = 'page'").select("url", "status", "depth", "attempts", "link_count", "note", F.when(F.col("status") != "queued", F.current_timestamp()).alias("visited_at"))
+            self._store(site, pages, config.base_url, version)
+            row = out.where("kind = 'stats'").first()  # one row a site; none without seeds
+            rounds += 1
+            if row is None:
+                return Run(site, counts, "frontier-empty", 0, rounds)
+            counts = {k: counts[k] + row[k] for k in _COUNTS}
+            reason, done = row["stop_reason"], limits.max_pages is not None and counts["visited"] >= limits.max_pages
+            if reason != "max-pages" or done or round_pages is None:
+                return Run(site, counts, reason, crawl.exit_code(counts, reason), rounds)
+            if stop():
+                return Run(site, counts, "interrupted", crawl.exit_code(counts, "interrupted"), rounds)
+            seeds, version = self.state(site), version + 1
+
+    def export(self, config: Config, path: str, name: str | None = None, lastmod: str = "none", allow_empty: bool = False, **limits: int) -> sitemap.Written:
+        """Write the site's finished pages as a sitemap. lastmod: none, visited, today, or a day as YYYY-MM-DD. A site
+        without finished pages is an error, or with allow_empty an empty sitemap."""
         day = {"none": F.lit(None), "visited": F.col("visited_on"), "today": F.lit(date.today())}.get(lastmod)
         if day is None:
             try:
@@ -133,8 +166,12 @@ class Project:
             except ValueError as e:
                 raise ConfigError(f"lastmod must be none, visited, today or a day, not {lastmod!r}") from e
         site = self.site_of(config, name)
-        entries = frontier.visited(self.state(site)).select(F.col("url").alias("loc"), day.cast("date").alias("lastmod"))
-        return sitemap.write_sitemap(entries, path, config.base_url or self.meta(site).get("base_url"), **limits)
+        state = self.state(site)
+        queued = state.where("status = 'queued'").count()
+        if queued:
+            log_of.warning("%d URLs are still queued, so this sitemap is incomplete; `update` goes on with the crawl", queued)
+        entries = frontier.visited(state).select(F.col("url").alias("loc"), day.cast("date").alias("lastmod"))
+        return sitemap.write_sitemap(entries, path, config.base_url or self.meta(site).get("base_url"), allow_empty=allow_empty, **limits)
 
     def status(self, config: Config, name: str | None = None) -> str:
         site = self.site_of(config, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.urls import Parts, ScopeColumns
 from ..operators import crawl, frontier, report, retry, sitemap
-from ..operators.robots import Robots
-from ..operators.scope import UrlPolicy
+from ..operators.robots import Robots, effective_delay
+from ..operators.scope import LinkRules
 from ..sources import pages as source
 from ..sources.shared import checkpointed
 from ..streaming import retries
@@ -80,8 +81,8 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in a scope of one host with its subdomains and a path prefix; http becomes the scope's https."""
-    policy = UrlPolicy.build("https://example.com/en/", include_subdomains=True)
-    out = _table(spark, sf_dir, "pages").select("page_id", policy.canonical(F.col("url"), F.col("url")).alias("canonical_url"))
+    rules = LinkRules.at("https://example.com/en/", include_subdomains=True)
+    out = _table(spark, sf_dir, "pages").select("page_id", rules.canonical(F.col("url"), F.col("url")).alias("canonical_url"))
     return out.where("canonical_url is not null")
 
 
@@ -135,7 +136,7 @@ _SUFFIX_OK = f"lower(regexp_extract(href, '[^/]+([.][^./]*)$', 1)) NOT IN ({_ASS
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.rendered(_table(spark, sf_dir, "pages")).withColumn("targets", urls.canonical_all(F.col("links"), F.col("url"), _own_scope()))
+    return source.rendered(_table(spark, sf_dir, "pages")).withColumn("targets", urls.canonical_all(F.col("links"), F.col("base"), _own_scope()))
 
 
 @query(f"SELECT page_id, pos, href FROM ({_LINKS})")
@@ -147,8 +148,8 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, pos, {_TARGET} AS target FROM ({_LINKS}) WHERE {_SUFFIX_OK}")
 def link_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source.rendered(_table(spark, sf_dir, "pages")).select("page_id", "url", F.posexplode("links").alias("pos", "href"))
-    out = rows.select("page_id", F.col("pos").cast("long").alias("pos"), urls.canonical(F.col("href"), F.col("url"), _own_scope()).alias("target"))
+    rows = source.rendered(_table(spark, sf_dir, "pages")).select("page_id", "url", "base", F.posexplode("links").alias("pos", "href"))
+    out = rows.select("page_id", F.col("pos").cast("long").alias("pos"), urls.canonical(F.col("href"), F.col("base"), _own_scope()).alias("target"))
     return out.where("target is not null")
 
 
@@ -170,6 +171,66 @@ def top_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("target").agg(F.count(F.lit(1)).alias("n_pages")).orderBy(F.desc("n_pages"), "target").limit(50)
 
 
+_ORIGIN = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
+
+
+@query(
+    f"""SELECT page_id, pos, {_ORIGIN} || CASE pos WHEN 0 THEN '/b/' || (page_id % 5) || '/x/y' || page_id || 'é' ELSE '/q?amp%3B=&k=' || page_id END AS target
+    FROM pages CROSS JOIN (VALUES (0::BIGINT), (1::BIGINT)) k(pos)"""
+)
+def link_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages that have a base element, with character references in them."""
+    head = F.concat(F.lit('<base target="_top"><base href="/b/'), F.col("page_id") % 5, F.lit('/z">'))
+    body = F.concat(F.lit('<a href="x&#x2F;y'), F.col("page_id"), F.lit('&eacute;">x</a><a href="&#47;q&quest;k&equals;'), F.col("page_id"), F.lit('&amp;amp;">y</a>'))
+    rows = source.rendered(_table(spark, sf_dir, "pages").withColumn("html", F.concat(head, body)))
+    rows = rows.select("page_id", "url", "base", F.posexplode("links").alias("pos", "href"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), urls.canonical(F.col("href"), F.col("base"), _own_scope()).alias("target"))
+
+
+# Links on a page at /d/e/f?x=1, and what they come to on its site; None for those that aren't followed.
+RELATIVE = (
+    ("../x", "/d/x"), ("./y", "/d/e/y"), ("z?b=2&a=1", "/d/e/z?a=1&b=2"), ("?q=1", "/d/e/f?q=1"), ("#top", "/d/e/f?x=1"), ("../../../up", "/up"), ("/a/./b/../c", "/a/c"), ("g;", "/d/e/g"),
+    ("mailto:a@b.c", None), ("   ", None), ("", None), ("javascript:void(0)", None), ("http://[::1/x", None), ("tel:+1", None), ("ftp://h/x", None), ("https://elsewhere.test/x", None), ("/data.CSV", None),
+)
+_RELATIVE = ", ".join(f"({k}, '{to}')" for k, (_, to) in enumerate(RELATIVE) if to)
+
+
+@query(f"SELECT page_id, k, {_ORIGIN} || path AS target FROM pages CROSS JOIN (VALUES {_RELATIVE}) r(k, path)")
+def link_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative links, and ones that no crawl follows, on a page of every page's site."""
+    own = _own_scope()
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.lit([href for href, _ in RELATIVE])).alias("k", "href"))
+    target = urls.canonical(F.col("href"), F.concat(own.origin, F.lit("/d/e/f?x=1")), own)
+    return rows.select("page_id", "k", target.alias("target")).where("target is not null")
+
+
+_PORTS = ("", ":80", ":443", ":8080")
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN port = '' OR usual THEN NULL ELSE substr(port, 2)::INT END AS port, CASE WHEN port = '' OR usual THEN {_ORIGIN} || '/p' END AS target
+    FROM (SELECT *, (scheme = 'http' AND port = ':80') OR (scheme = 'https' AND port = ':443') AS usual
+    FROM (SELECT page_id, url, regexp_extract(url, '^([^:]+)', 1) AS scheme, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN ':80' WHEN 2 THEN ':443' ELSE ':8080' END AS port FROM pages))"""
+)
+def port_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with ports: the scheme's own is none, any other is another site."""
+    p, own = Parts.of(F.col("url")), _own_scope()
+    made = F.concat(p.scheme, F.lit("://"), p.netloc, F.element_at(F.lit(list(_PORTS)), (F.col("page_id") % 4 + 1).cast("int")), F.lit("/p"))
+    return _table(spark, sf_dir, "pages").select("page_id", ScopeColumns.of(made).port.alias("port"), urls.canonical(made, F.col("url"), own).alias("target"))
+
+
+# Links and what they come to with hash routing and an exclude pattern.
+ROUTED = (("/a#/r/1", "/a#/r/1"), ("/a#!/r", "/a#!/r"), ("/a#top", "/a"), ("/logout?x=1", None), ("/logouts", "/logouts"), ("/b/logout", None), ("/a?ref=x#/logout", None))
+_ROUTED = ", ".join(f"({k}, '{to}')" for k, (_, to) in enumerate(ROUTED) if to)
+
+
+@query(f"SELECT page_id, k, {_ORIGIN} || path AS target FROM pages CROSS JOIN (VALUES {_ROUTED}) r(k, path)")
+def link_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that are routes, and links that an exclude pattern keeps out."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.lit([href for href, _ in ROUTED])).alias("k", "href"))
+    return rows.select("page_id", "k", urls.canonical(F.col("href"), F.col("url"), _own_scope(), hash_routing=True, exclude=(r"/logout\b",)).alias("target")).where("target is not null")
+
+
 # -- frontier --------------------------------------------------------------------------------------------------------
 
 NOW = "2024-02-01 00:00:00"
@@ -350,38 +411,72 @@ def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || '/moved/' || page_id ELSE NULL END AS target,
-    CASE WHEN page_id % 3 = 0 THEN 'done' ELSE 'redirected' END AS status FROM ({_PARTS}) WHERE query = '' AND fragment = ''"""
+    f"""SELECT p.page_id, CASE WHEN p.page_id % 6 = 3 THEN nullif(c.canonical_url, p.url) WHEN p.page_id % 3 = 1 THEN regexp_extract(p.url, '^([^:/?#]+://[^/?#]*)', 1) || '/moved/' || p.page_id END AS target,
+    CASE WHEN p.page_id % 3 = 0 THEN 'done' ELSE 'redirected' END AS status FROM pages p LEFT JOIN ({_CANONICAL}) c USING (page_id)"""
 )
 def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose browser stayed, ended elsewhere on the site, or left it."""
-    url = F.col("url")
+    """Pages whose browser stayed, ended at another place of the page, elsewhere on the site, or left it."""
+    url, case = F.col("url"), F.col("page_id") % 6
     home = _own_scope()
-    final = F.when(F.col("page_id") % 3 == 0, url).when(F.col("page_id") % 3 == 1, F.concat(home.origin, F.lit("/moved/"), F.col("page_id"), F.lit("?utm_source=x#top"))).otherwise(F.lit("https://elsewhere.test/"))
-    p = Parts.of(url)
-    rows = _table(spark, sf_dir, "pages").where((p.query == "") & (p.fragment == "")).withColumn("final", final)
-    return rows.select("page_id", crawl.redirect_target(url, F.col("final"), home).alias("target"), F.when(F.col("final") == url, "done").otherwise("redirected").alias("status"))
+    final = (
+        F.when(case == 0, url).when(case == 3, F.concat(F.regexp_replace(url, "#.*$", ""), F.lit("#again")))
+        .when(case.isin(1, 4), F.concat(home.origin, F.lit("/moved/"), F.col("page_id"), F.lit("?utm_source=x#top"))).otherwise(F.lit("https://elsewhere.test/"))
+    )
+    rows = _table(spark, sf_dir, "pages").withColumn("final", final)
+    return rows.select("page_id", crawl.redirect_target(url, F.col("final"), home).alias("target"), F.when(case.isin(0, 3), "done").otherwise("redirected").alias("status"))
 
 
 @query(
-    f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || '/c/' || page_id END AS canonical FROM ({_PARTS}) WHERE query = '' AND fragment = ''"""
+    f"""SELECT p.page_id, CASE WHEN p.page_id % 3 = 0 THEN regexp_extract(p.url, '^([^:/?#]+://[^/?#]*)', 1) || '/c/' || p.page_id WHEN p.page_id % 3 = 1 THEN nullif(c.canonical_url, p.url) END AS canonical
+    FROM pages p LEFT JOIN ({_CANONICAL}) c USING (page_id)"""
 )
 def canonical_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical link in a page's HTML: another page of the site, the page itself, or one elsewhere."""
-    head = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<head><link href='/c/"), F.col("page_id"), F.lit("' rel='alternate CANONICAL'>"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<head><link rel="canonical" href="'), F.col("url"), F.lit('">'))).otherwise(F.lit('<head><link rel="canonical" href="https://elsewhere.test/">'))
-    p = Parts.of(F.col("url"))
-    rows = _table(spark, sf_dir, "pages").where((p.query == "") & (p.fragment == "")).withColumn("html", F.replace("html", F.lit("<head>"), head))
+    head = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<head><link href='/c/"), F.col("page_id"), F.lit("' rel='alternate CANONICAL'>"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<head><link rel="canonical" href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'))).otherwise(F.lit('<head><link rel="canonical" href="https://elsewhere.test/">'))
+    rows = _table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<head>"), head))
     return source.rendered(rows).select("page_id", crawl.canonical_target(F.col("url"), F.col("canonical"), _own_scope()).alias("canonical"))
 
 
+# robots.txt texts, the agent, the delay that they ask for, and the one that holds where 1.5 s are configured.
+DELAYS = (
+    ("User-agent: *\nCrawl-delay: 7", "loom/1.0", 7.0, 7.0), ("User-agent: *\nCrawl-delay: 1", "loom/1.0", 1.0, 1.5), ("User-agent: *\nCrawl-delay: soon", "loom/1.0", None, 1.5),
+    ("User-agent: other\nCrawl-delay: 9", "loom/1.0", None, 1.5), ("User-agent: loom\nCrawl-delay: 4\n\nUser-agent: *\nCrawl-delay: 2", "loom/1.0", 4.0, 4.0), ("", "loom/1.0", None, 1.5),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if own is None else own}::DOUBLE, {held}::DOUBLE)" for k, (_, _, own, held) in enumerate(DELAYS)) + ") t(case_id, crawl_delay, effective)")
+def robots_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The waits that robots.txt files ask for."""
+    read = [(k, Robots.parse(text, agent)) for k, (text, agent, _, _) in enumerate(DELAYS)]
+    return spark.createDataFrame([(k, r.crawl_delay, effective_delay(1.5, r)) for k, r in read], "case_id int, crawl_delay double, effective double")
+
+
+@query(golden.SQL_FAULTS)
+def crawl_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites that fail in different ways: whose fault it is decides what becomes of the page and of the crawl."""
+    out = golden.faulty(spark)
+    return out.select("site", "kind", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("status", "stop_reason").alias("status"), F.coalesce("attempts", "exit_code").alias("n"))
+
+
+@query(golden.SQL_STATE)
+def crawl_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small site crawled three pages at a time, each run going on with the state that the one before has left."""
+    return golden.in_rounds(spark, 3).select("url", "status", "depth", "attempts", F.coalesce("link_count", F.lit(-1)).alias("link_count"))
+
+
+@query("SELECT 'max-pages' AS stop_reason, 3::BIGINT AS visited, 0 AS exit_code")
+def crawl_page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.crawled(spark, max_pages=3).where("kind = 'stats'").select("stop_reason", "visited", "exit_code")
+
+
 # -- graph -----------------------------------------------------------------------------------------------------------
 
-_GRAPH = "SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01'"
+_GRAPH = "SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem"
 _BFS = "WITH RECURSIVE e AS ({g}), x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(url, depth) AS (SELECT 's1', 0 UNION SELECT x.b, r.depth + 1 FROM r JOIN x ON x.a = r.url WHERE r.depth < {d}) SELECT url, min(depth)::INT AS depth FROM r GROUP BY url"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp_ntz '1995-03-01'").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    rows = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
     rows = checkpointed(rows)
     return rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
@@ -418,7 +513,7 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     own = _own_scope()
     rows = source.rendered(pages).withColumn("own", urls.canonical(F.col("url"), F.col("url"), own)).where("own is not null")
-    one = rows.groupBy("own").agg(F.min_by(F.struct("url", "links", "canonical"), "page_id").alias("r")).select(Parts.of(F.col("own")).host.alias("site"), F.col("own").alias("url"), F.lit(1).alias("attempt"), F.col("own").alias("final_url"), "r.links", "r.canonical", F.lit(None).cast("string").alias("fault"), F.lit(True).alias("retryable"), F.lit("").alias("message"))
+    one = rows.groupBy("own").agg(F.min_by(F.struct("url", "base", "links", "canonical"), "page_id").alias("r")).select(Parts.of(F.col("own")).host.alias("site"), F.col("own").alias("url"), F.lit(1).alias("attempt"), F.col("own").alias("final_url"), "r.links", "r.canonical", "r.base", F.lit(None).cast("string").alias("fault"), F.lit(True).alias("retryable"), F.lit("").alias("message"))
     log = crawl.fetch_log(one, ScopeColumns.of(F.col("url"), restrict_to_path=False))
     out = crawl.crawl_sites(one.select("site", "url"), log, crawl.Limits(max_consecutive_failures=None))
     return out.where("kind = 'stats'").select("site", "visited", "failed")
@@ -466,6 +561,29 @@ def sitemap_chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemap.chunk_by_size(rows, max_urls=9, max_bytes=1200).select("loc", "chunk")
 
 
+def _sitemap_files(spark: SparkSession, sf_dir: str) -> str:
+    folder = retries.folder(spark)
+    sitemap.write_sitemap_parts(_entries(spark, sf_dir).withColumn("lastmod", F.lit(date(2024, 5, 6))), folder, "https://example.com/maps", max_urls=40, today=date(2024, 5, 7))
+    return folder
+
+
+@query(f"SELECT loc, DATE '2024-05-06' AS lastmod, (row_number() OVER (ORDER BY loc) - 1) // 40 AS chunk FROM (SELECT DISTINCT canonical_url AS loc FROM ({_CANONICAL}))")
+def sitemap_urlset_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a split sitemap, read back from its XML files."""
+    folder = _sitemap_files(spark, sf_dir)
+    return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod date, chunk long").load(f"{folder}/files")
+
+
+@query(
+    f"""SELECT chunk, DATE '2024-05-07' AS lastmod, 'https://example.com/maps/files/chunk=' || chunk || '/' AS folder
+    FROM (SELECT DISTINCT (row_number() OVER (ORDER BY loc) - 1) // 40 AS chunk FROM (SELECT DISTINCT canonical_url AS loc FROM ({_CANONICAL})))"""
+)
+def sitemap_index_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a split sitemap's index lists, read back from its XML."""
+    rows = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, lastmod date").load(f"{_sitemap_files(spark, sf_dir)}/index")
+    return rows.select(F.regexp_extract("loc", "chunk=([0-9]+)/", 1).cast("long").alias("chunk"), "lastmod", F.regexp_extract("loc", "^(.*/)", 1).alias("folder"))
+
+
 @query("SELECT '/o/' || o_orderkey AS loc, strftime(o_orderdate, '%Y-%m-%d') AS lastmod FROM orders WHERE o_orderstatus = 'F' ORDER BY loc")
 def sitemap_lastmod(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day of each finished URL's visit, as a sitemap lists it."""
@@ -513,11 +631,10 @@ def outcome_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retry_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each URL's last state in the stream of attempts."""
     folder = retries.folder(spark)
-    log = _log(spark, sf_dir).select("url", F.struct("at", "event_id").alias("o"), "event_id", "at", (F.col("event_type") != "error").alias("ok"), F.lit(True).alias("retryable"))
-    seq = F.unix_timestamp("at") * 1_000_000 + F.col("event_id")
-    log.select("url", seq.alias("seq"), "at", "ok", "retryable").write.parquet(f"{folder}/log")
+    log = _log(spark, sf_dir).select("url", F.col("event_id").alias("seq"), "at", (F.col("event_type") != "error").alias("ok"), F.lit(True).alias("retryable"))
+    log.write.parquet(f"{folder}/log")
     session = retries.stream_session(spark)
     stream = session.readStream.schema("url string, seq long, at timestamp, ok boolean, retryable boolean").parquet(f"{folder}/log")
     states = retries.drain(session, retries.retry_states(stream), folder)
-    last = spark.read.schema(states.schema).parquet(*{f.rsplit("/", 1)[0] for f in states.inputFiles()}).groupBy("url").agg(F.max_by(F.struct("status", "attempts"), "seq").alias("s"))
+    last = spark.read.schema(states.schema).parquet(*{f.rsplit("/", 1)[0] for f in states.inputFiles()}).groupBy("url").agg(F.max_by(F.struct("status", "attempts"), F.struct("at", "seq")).alias("s"))
     return last.select("url", "s.status", F.col("s.attempts").cast("long").alias("attempts"))

@@ -11,7 +11,7 @@ from typing import Any
 
 from ..functions.urls import TRACKING_PARAMS
 from ..operators.crawl import Limits
-from ..operators.scope import Scope, UrlPolicy
+from ..operators.scope import LinkRules, Scope
 
 
 class ConfigError(ValueError):
@@ -116,12 +116,8 @@ class Config:
             raise ConfigError("a base URL is needed")
         return Scope.from_url(self.base_url, include_subdomains=self.include_subdomains, restrict_to_path=self.restrict_to_path)
 
-    def policy(self) -> UrlPolicy:
-        self.scope  # noqa: B018
-        return UrlPolicy.build(
-            self.base_url, include_subdomains=self.include_subdomains, restrict_to_path=self.restrict_to_path, keep_query=self.keep_query, hash_routing=self.hash_routing,
-            strip_query_params=tuple(self.strip_query_params), exclude_patterns=tuple(self.exclude_patterns),
-        )
+    def policy(self) -> LinkRules:
+        return LinkRules(self.scope, keep_query=self.keep_query, hash_routing=self.hash_routing, strip_params=tuple(self.strip_query_params), exclude=tuple(self.exclude_patterns))
 
     def limits(self) -> Limits:
         return Limits(self.max_pages, self.max_depth, self.max_runtime, self.max_attempts, self.max_consecutive_failures, self.max_restarts)

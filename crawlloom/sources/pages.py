@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
 # Content types of responses that are pages.
 HTML_TYPES = ("text/html", "application/xhtml+xml", "application/xml", "text/xml", "")
 
@@ -24,11 +28,30 @@ def _attribute(attrs: Column, pattern: str) -> Column:
     return F.when(attrs.rlike(pattern), F.coalesce(*parts, F.lit("")))
 
 
+_NAMES = sorted(k[:-1] for k in html5 if k.endswith(";"))
+
+
+def _reference(piece: Column) -> Column:
+    """A piece of text that began after an &, with the reference that it begins with, if any, put in its place."""
+    number = F.regexp_extract(piece, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 0)
+    digits = F.regexp_extract(number, r"([0-9A-Fa-f]+);?$", 1)
+    code = F.when(number.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.regexp_extract(number, "([0-9]+)", 1)).cast("int")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+    named = F.element_at(F.map_from_arrays(F.lit(_NAMES), F.lit([html5[f"{n};"] for n in _NAMES])), name)
+    return (
+        F.when(number != "", F.concat(char, F.substring(piece, F.length(number) + 1, F.length(piece))))
+        .when((name != "") & named.isNotNull(), F.concat(named, F.substring(piece, F.length(name) + 2, F.length(piece))))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
+
+
 def unescape(text: Column) -> Column:
-    """Character references that attribute values commonly hold."""
-    for name, char in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"), ("&#38;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Text with its character references replaced, each once: numeric ones, and HTML's names with their semicolon."""
+    pieces = F.split(text, "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference)
+    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def visible(html: Column) -> Column:
@@ -50,9 +73,19 @@ def canonical_link(html: Column) -> Column:
     return F.get(F.transform(own, lambda a: unescape(_attribute(a, _HREF))), F.lit(0))
 
 
+def base_href(html: Column) -> Column:
+    """The href of the first base element that has one; null without one."""
+    bases = F.regexp_extract_all(visible(html), F.lit(rf"(?is)<base(?=[\s/>]){_ATTRS}>"), 1)
+    return F.get(F.filter(F.transform(bases, lambda a: unescape(_attribute(a, _HREF))), lambda h: h.isNotNull()), F.lit(0))
+
+
 def rendered(pages: DataFrame) -> DataFrame:
-    """(page_id, url, links, canonical): one pass over each page's HTML."""
-    return pages.select("page_id", "url", hrefs(F.col("html")).alias("links"), canonical_link(F.col("html")).alias("canonical"))
+    """(page_id, url, base, links, canonical): one pass over each page's HTML. base is what links are relative to: the
+    page's URL, or what its base element makes of it."""
+    html = F.col("html")
+    own = base_href(html)
+    base = F.when(F.contains(F.lower(html), F.lit("<base")), F.coalesce(urls.absolute(own, F.col("url")), F.col("url"))).otherwise(F.col("url"))
+    return pages.select("page_id", "url", base.alias("base"), hrefs(html).alias("links"), canonical_link(html).alias("canonical"))
 
 
 def has_tag(html: Column, tag: str) -> Column:

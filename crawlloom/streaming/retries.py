@@ -12,12 +12,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "url string, seq long, status string, attempts int, next_attempt_at timestamp"
+OUT = "url string, seq long, at timestamp, status string, attempts int, next_attempt_at timestamp"
 _STATE = "attempts int, status string, at timestamp"
 
 
 class RetryProcessor(StatefulProcessor):
-    """Rows (url, seq, at, ok, retryable) of a URL in the order of seq; a row out for each.
+    """Rows (url, seq, at, ok, retryable) of a URL in the order of at, then seq; a row out for each.
 
     A success ends a URL as done; a failure puts it back, due after the backoff of that attempt, or fails it for good
     when it isn't retryable or the attempts are used up. What comes after the end changes nothing. State has one row a
@@ -32,7 +32,7 @@ class RetryProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         attempts, status, due = self.state.get() if self.state.exists() else (0, "queued", None)
-        pdf = pd.concat(list(rows)).sort_values("seq")
+        pdf = pd.concat(list(rows)).sort_values(["at", "seq"])
         out = []
         for seq, at, ok, retryable in zip(pdf["seq"], pdf["at"], pdf["ok"], pdf["retryable"], strict=True):
             if status == "queued":
@@ -43,9 +43,9 @@ class RetryProcessor(StatefulProcessor):
                     due = at + pd.Timedelta(seconds=min(self.base * self.factor ** (attempts - 1), self.cap))
                 else:
                     status, due = "failed", None
-            out.append((key[0], seq, status, attempts, due))
+            out.append((key[0], seq, at, status, attempts, due))
         self.state.update((attempts, status, due))
-        yield pd.DataFrame(out, columns=["url", "seq", "status", "attempts", "next_attempt_at"]).astype({"next_attempt_at": "datetime64[ns]"})
+        yield pd.DataFrame(out, columns=["url", "seq", "at", "status", "attempts", "next_attempt_at"]).astype({"at": "datetime64[ns]", "next_attempt_at": "datetime64[ns]"})
 
     def close(self) -> None:
         pass
@@ -76,5 +76,6 @@ def stream_session(spark: SparkSession) -> SparkSession:
 
 def folder(spark: SparkSession) -> str:
     """A folder of its own in the one that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="crawlloom-")
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="crawlloom-")
     return f"{root.rstrip('/')}/crawlloom/retries-{uuid.uuid4().hex}"

@@ -61,6 +61,33 @@ def test_repeats_against_brute_force(spark, seed):
     assert sorted(removed(table(spark, rows)), key=key) == sorted(repeats(rows), key=key)
 
 
+def test_repeats_without_identifiers(spark):
+    """Rows without an identifier, and ones with any identifier there is, keep what is theirs."""
+    r = random.Random(8)
+    p = words(r, 60)
+    rows = [(None, p + words(r, 9)), (None, words(r, 50)), (0, p), (-(2**63), words(r, 50)), (None, None)]
+    key = lambda x: tuple(map(str, x))
+    assert sorted(removed(table(spark, rows)), key=key) == sorted(repeats(rows), key=key)
+
+
+def test_equality_rests_on_cryptographic_digests(spark):
+    """Rows whose names agree but whose bytes don't are not repeated; the digests are those of the bytes."""
+    ws = suffix_dedup.Workspace(spark, "test")
+    rows = spark.createDataFrame([(1, 1, 0, 1, 0, 5, 10, 11, 1), (2, 2, 0, 1, 0, 5, 10, 12, 1), (3, 3, 0, 1, 0, 5, 13, 11, 1), (4, 4, 0, 1, 0, 6, 1, 1, 1), (5, 5, 0, 1, 0, 6, 1, 1, 1)], suffix_dedup.ROWS)
+    full, checks = suffix_dedup.decide(ws, rows, "t")
+    assert sorted(x.doc_id for x in full.collect()) == [4, 5] and sorted(x.doc_id for x in checks.collect()) == [1, 2, 3]
+    buf = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
+    text, first, n, d, m, c = suffix_dedup.runs(buf, np.array([0, 2000]), 200)
+    s = suffix_dedup.sums(buf)
+    cases = [(first, n, c)]
+    for cut in (suffix_dedup.grid, suffix_dedup.single):
+        run, at, count, far, m, digests = cut(s, buf, first, n, d, 200)
+        cases.append((at, count, digests))
+    for a, k, digests in cases:
+        for x, y, got in zip(a, k, digests):
+            assert got.tobytes() == hashlib.blake2b(buf[x : x + y + 199].tobytes(), digest_size=16).digest()
+
+
 def test_repeats_of_empty_table_and_long_text(spark, monkeypatch):
     assert removed(table(spark, [(1, "x")]).limit(0)) == []
     monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 20)
@@ -177,6 +204,39 @@ def test_exact_dedup_state_grows_over_batches(spark):
     assert state == {hashlib.sha256(t.encode()).hexdigest(): x for t, x in {"a": (7, 2), "b": (2, 1), "c": (5, 1)}.items()}
 
 
+def test_exact_dedup_is_taken_up_again(spark, tmp_path):
+    """Another process goes on with the folder: the state grows, locators lead to files, and a feed counts once."""
+    from crawlloom.llm.common import Workspace
+
+    tables = []
+    for k, rows in enumerate([[(1, "a"), (2, "b"), (4, "A")], [(7, "A"), (5, "c")], [(3, "B"), (6, "c"), (9, "d")]]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"t{k}"))
+        tables.append(spark.read.parquet(str(tmp_path / f"t{k}")))
+    for k, t in enumerate(tables):
+        dedup = exact_dedup.ExactDedup(Workspace(spark, "exact", f"file://{tmp_path}/state"), known=tables[:k])
+        dedup.feed(t, f"t{k}")
+    again = exact_dedup.ExactDedup(Workspace(spark, "exact", f"file://{tmp_path}/state"), known=tables)
+    again.feed(tables[2], "t2")
+    rows = {(r.id, r.keep_id, r.group_size) for r in again.groups().collect()}
+    assert rows == {(1, 7, 3), (4, 7, 3), (7, 7, 3), (2, 3, 2), (3, 3, 2), (5, 6, 2), (6, 6, 2), (9, 9, 1)}
+    held = again.state().join(again.files(), "place").collect()
+    assert {r.keep_id: r.file.split("/")[-2] for r in held} == {7: "t1", 3: "t2", 6: "t2", 9: "t2"}
+
+
+def test_exact_dedup_checks_bytes_against_earlier_feeds(spark, tmp_path, monkeypatch):
+    from crawlloom.llm.common import Workspace
+
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(c, 1, 1))
+    tables = []
+    for k, rows in enumerate([[(1, "ax"), (2, "by")], [(7, "ay"), (5, "BY")], [(9, "az"), (8, "c")]]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"t{k}"))
+        tables.append(spark.read.parquet(str(tmp_path / f"t{k}")))
+    for k in range(3):
+        dedup = exact_dedup.ExactDedup(Workspace(spark, "exact", f"file://{tmp_path}/state"), known=tables[:k])
+        dedup.feed(tables[k], f"t{k}")
+    assert {(r.id, r.keep_id, r.group_size) for r in dedup.groups().collect()} == {(1, 1, 1), (7, 7, 1), (9, 9, 1), (2, 5, 2), (5, 5, 2), (8, 8, 1)}
+
+
 def test_exact_dedup_parts_texts_that_share_a_digest(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
     got = exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "b"), (5, "c")], "doc_id long, text string")).collect()

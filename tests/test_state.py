@@ -1,4 +1,5 @@
 import random
+import xml.etree.ElementTree as ET
 from collections import deque
 from datetime import date, datetime
 from urllib.robotparser import RobotFileParser
@@ -138,8 +139,46 @@ def test_sitemap_files(spark, tmp_path):
     with pytest.raises(sitemap.SitemapError):
         sitemap.write_sitemap(entries.limit(0), str(tmp_path / "e.xml"))
     assert sorted(p.name for p in tmp_path.iterdir()) == ["m-1.xml", "m-2.xml", "m-3.xml", "m.xml", "s.xml"]
-    sitemap.write_sitemap_parts(entries, str(tmp_path / "parts"))
-    assert spark.read.format("xml").option("rowTag", "url").load(str(tmp_path / "parts")).count() == 25
+    empty = sitemap.write_sitemap(entries.limit(0), str(tmp_path / "e.xml"), allow_empty=True)
+    assert empty.url_count == 0 and "<urlset" in (tmp_path / "e.xml").read_text()
+
+
+def test_sitemap_parts_keep_both_limits(spark, tmp_path):
+    rows = [(f"https://h/{k:03}?a=1&b=" + "<&é" * (k % 40), date(2024, 1, 1) if k % 2 else None) for k in range(300)]
+    entries = spark.createDataFrame(rows, "loc string, lastmod date")
+    for limits in ({"max_urls": 70}, {"max_bytes": 20_000}):
+        path = str(tmp_path / "-".join(limits))
+        n = sitemap.write_sitemap_parts(entries, path, "https://h/maps/", today=date(2024, 2, 3), **limits)
+        files = sorted((tmp_path / "-".join(limits) / "files").rglob("part-*"))
+        assert len(files) == n > 3 and all(f.stat().st_size <= limits.get("max_bytes", 1 << 30) for f in files)
+        trees = [ET.fromstring(f.read_bytes()) for f in files]
+        assert all(t.tag.endswith("urlset") and len(t) <= limits.get("max_urls", 1 << 30) for t in trees)
+        locs = [u[0].text for t in trees for u in t]
+        assert sorted(locs) == sorted(x for x, _ in rows)
+        (index,) = (tmp_path / "-".join(limits) / "index").rglob("part-*")
+        listed = [u[0].text for u in ET.fromstring(index.read_bytes())]
+        assert sorted(listed) == sorted("https://h/maps/" + str(f.relative_to(path)) for f in files)
+    for bad in ({"max_bytes": 100}, {}):
+        with pytest.raises(sitemap.SitemapError):
+            sitemap.write_sitemap_parts(entries.limit(1 if bad else 0), str(tmp_path / "bad"), "https://h/", **bad)
+
+
+def test_character_references(spark):
+    cases = {"a&amp;b": "a&b", "&amp;amp;": "&amp;", "&#38;#38;": "&#38;", "x&#x2F;y&eacute;": "x/yé", "?a=1&copy=2": "?a=1&copy=2", "&#128512;&#x1F600;": "😀😀", "&#0;&#xD800;&#9999999;": "\ufffd" * 3, "&nosuch;&": "&nosuch;&", "&quot;&nbsp;": '"\xa0', "plain": "plain", "": "", None: None}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t string").withColumn("u", source.unescape(F.col("t"))).orderBy("k").collect()
+    assert [r.u for r in rows] == list(cases.values())
+
+
+def test_base_element(spark):
+    html = ['<base href="/b/"><base href="/c/">', "<BASE target=x><base href='https://o.test/p/q'>", "<base href=''>", "<!-- <base href='/no/'> -->", None]
+    rows = spark.createDataFrame([(k, "https://h/d/e?f", h) for k, h in enumerate(html)], "page_id int, url string, html string")
+    assert [r.base for r in source.rendered(rows).orderBy("page_id").collect()] == ["https://h/b/", "https://o.test/p/q", "https://h/d/e?f", "https://h/d/e?f", "https://h/d/e?f"]
+
+
+def test_backoff_refuses(spark):
+    for bad in ({"base": -1}, {"cap": -1}, {"factor": 0.5}, {"jitter": 1}, {"jitter": -0.1}):
+        with pytest.raises(ValueError):
+            retry.Backoff(**bad)
 
 
 def test_chunks(spark):
