@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's own setting: a query's shuffle files go when it ends. If one were needed again, its stage would run again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def once(spark: SparkSession) -> Iterator[None]:
+    """Queries started here leave no shuffle files behind: for writes, whose plans nothing else runs."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Workspace:
     """Tables written to the shared folder: they cut lineage and survive the loss of executors.
 
@@ -50,7 +66,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it back."""
         path, schema = self.at(name), df.schema
-        df.write.mode("overwrite").parquet(path)
+        with once(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def _place(self, path: str):

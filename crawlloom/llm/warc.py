@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, once
 
 #: Bytes of records in one file, in the mean, before they are compressed; and records in one file at most.
 FILE_BYTES, FILE_RECORDS = 1 << 25, 1 << 16
@@ -69,7 +69,8 @@ def _write(rows: DataFrame, path: str, *by: str) -> None:
     """Write a binary column `value` as it is: each ends with a zero byte, which serves as the text writer's separator."""
     short = F.expr("substring(value, 1, octet_length(value) - 1)").cast("string").alias("value")
     writer = rows.select(short, *by).write.mode("overwrite").options(lineSep="\0", maxRecordsPerFile=str(FILE_RECORDS))
-    (writer.partitionBy(*by) if by else writer).text(path)
+    with once(rows.sparkSession):
+        (writer.partitionBy(*by) if by else writer).text(path)
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
