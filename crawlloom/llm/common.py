@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch that goes to a Python worker. Bounds a worker's memory when texts are long.
-ARROW_ROWS = 2000
+#: Rows and bytes in one Arrow batch that goes to a Python worker, but for one longer row. They bound the memory of both
+#: sides when texts or lists are long.
+ARROW_ROWS, ARROW_BYTES = 2000, 1 << 22
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -59,6 +60,7 @@ class Workspace:
         if folder is None:
             Workspace.opened.append(self)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
