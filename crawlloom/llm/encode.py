@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import local_file, ranges
 
 #: Words whose ids a worker keeps. When there are more, only those met more than once stay, half as many at most.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 _encoders: dict[str, Encoder] = {}
 _SPACE = 32
@@ -44,7 +44,7 @@ class Powers:
 class Table:
     """Numbers for 64-bit keys, none of them 0, by open addressing; all steps work on arrays."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 19):
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
 
@@ -112,6 +112,9 @@ class Encoder:
         order = np.array(order + inner, np.int64)
         start = np.zeros(len(words), np.int64)
         start[order] = len(self.ids) + np.cumsum(count[order]) - count[order]
+        if 2 * (len(self.keys) + len(keys)) > len(self.table.keys):  # a long text may hold more words than the bound
+            self.table = Table((2 * (len(self.keys) + len(keys))).bit_length())
+            self.table.put(self.keys, np.arange(len(self.keys)))
         self.table.put(keys, len(self.keys) + np.arange(len(keys)))
         self.ids = np.concatenate([self.ids, *got])
         self.starts, self.counts, self.keys = (np.concatenate(x) for x in ((self.starts, start), (self.counts, count), (self.keys, keys)))

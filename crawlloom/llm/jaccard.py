@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, trimmed
 
-#: Texts, about, in which common shingles are looked for; one is common if so many of them hold it.
-SAMPLE_DOCS, COMMON = 20_000, 12
+#: Common shingles are looked for in one text of so many, and in so many texts, about, at least; one is common if that
+#: many of them hold it. A share, so that the texts that an uncommon shingle joins are as few in a large corpus.
+SAMPLE_PART, SAMPLE_DOCS, COMMON = 2, 20_000, 12
 #: Common shingles that are broadcast at most.
 MOST_COMMON = 1 << 17
 #: Words whose hashes a task keeps at most.
@@ -81,10 +82,10 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, shingle: int, ws: Workspace) -> tuple[np.ndarray, np.ndarray]:
     """(keys, sorted; the place of each in the order) of the shingles that are common in a sample of the texts."""
     part = 1 << 20
-    share = max(1, min(part, part * SAMPLE_DOCS // max(1, docs.count())))
+    share = max(part // SAMPLE_PART, min(part, part * SAMPLE_DOCS // max(1, docs.count())))
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) < share).select("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +93,9 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
             for t in b.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(keys(hashes(t.as_py(), shingle)))], names=["tok"])
 
-    counts = some.mapInArrow(run, "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    rows = counts.orderBy(F.desc("n"), "tok").limit(MOST_COMMON).collect()
+    counts = some.mapInArrow(trimmed(run), "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    rows = ws.save(counts, "common").orderBy(F.desc("n"), "tok").limit(MOST_COMMON).collect()
+    ws.drop("common")
     tok = np.array([r["tok"] for r in reversed(rows)], np.int64)  # the commonest last
     order = np.argsort(tok)
     return tok[order], order
@@ -108,10 +110,10 @@ def ordered(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.sort(np.where(known[at] == own, (1 << KEY_BITS) + place[at], own))
 
 
-def prefixes(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
+def prefixes(docs: DataFrame, shingle: int, fingerprint, ws: Workspace) -> DataFrame:
     """(doc_id, text_key, node, fp, n, last, prefix) of docs (doc_id, text): a row's set by name and size, its SimHash,
     and the first of its shingles in the order with the last of these. A set that a task meets again has no prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle, ws))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -137,7 +139,7 @@ def prefixes(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
             )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, fp long, n int, last long, prefix array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, text_key long, node long, fp long, n int, last long, prefix array<long>")
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -240,7 +242,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, w
                 own = keys(hashes(t.as_py(), shingle))
                 yield pa.RecordBatch.from_arrays([pa.array([name_of(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["node", "keys"])
 
-    sets = texts.mapInArrow(run, "node long, keys binary").join(ids.select("node"), "node", "left_semi")
+    sets = texts.mapInArrow(trimmed(run), "node long, keys binary").join(ids.select("node"), "node", "left_semi")
     sets = ws.save(sets.dropDuplicates(["node"]), f"{name}-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("right")), "b")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, text_buffer, tokenizer_path
+from .common import Workspace, slices, text_buffer, tokenizer_path, trimmed
 from .encode import encoder, with_end
 
 SEQUENCE = 2048
@@ -131,7 +131,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc
                 )
                 ordinal += len(queues)
 
-    return rows.mapInArrow(run, "doc_id long, queue string, part int, ordinal long, start long, doc_tokens long, first long, ids binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, queue string, part int, ordinal long, start long, doc_tokens long, first long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequence: int = SEQUENCE, window: int | None = None, weights: dict[str, float] | None = None, name: str = "packing", **columns: str) -> DataFrame:
@@ -176,4 +176,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, sequenc
             cols = list(zip(*out, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "queue", "window_id", "ids"])
 
-    return tokens.mapInArrow(run, OUT)
+    return tokens.mapInArrow(trimmed(run), OUT)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, text_buffer
+from .common import Workspace, text_buffer, trimmed
 from .encode import _VALUES as BYTE_VALUES
 from .encode import Powers
 
@@ -173,7 +173,7 @@ def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int
                 f, o = features(buf, offs)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("key").slice(i, j - i), b.column("grade").slice(i, j - i).cast(pa.int32()), pa.array([f[x:y].astype("<i4").tobytes() for x, y in zip(o[:-1], o[1:], strict=True)], pa.binary())], names=["doc_id", "key", "grade", "features"])
 
-    sample = rows.mapInArrow(run, "doc_id long, key long, grade int, features binary").groupBy("doc_id", "key").agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
+    sample = rows.mapInArrow(trimmed(run), "doc_id long, key long, grade int, features binary").groupBy("doc_id", "key").agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
     sample = ws.save(sample, "sample").toPandas().sort_values(["doc_id", "key"])
     ws.drop("chosen", "sample")
     if not len(sample):
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 tails = model.tails(model.scores(*features(buf, offs)))
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], names=[*b.schema.names, "expected_grade", "tails"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

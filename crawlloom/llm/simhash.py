@@ -266,7 +266,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, budget: int = 4, name: str =
     """
     ws = Workspace(docs.sparkSession, name)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    own = ws.save(jaccard.prefixes(docs, shingle, majority), "prefixes")
+    own = ws.save(jaccard.prefixes(docs, shingle, majority, ws), "prefixes")
     posts = own.where("prefix is not null").select(F.explode("prefix").alias("tok"), "node", "n")
     posts = ws.save(jaccard.shared_by_two(posts), "posts")
     ws.release()
