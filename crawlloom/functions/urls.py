@@ -137,7 +137,9 @@ def resolved(link: Parts, at: Parts) -> tuple[Parts, Column]:
     path = F.when(scheme == at.scheme, F.regexp_replace(link.path, r"^((?:.*/)?[^/;]*);$", "$1")).otherwise(link.path)
     here = relative & (path == "")
     own = F.regexp_replace(at.path, r"^((?:.*/)?[^/;]*);$", "$1")
-    dotted = F.when(here, own).when(relative, F.when(path.rlike(r"^/(?!.*(?://|/\.))[^.]*$"), path).otherwise(_path_joined(at.path, path))).otherwise(path)
+    # dots that go above the root take its slash away; below a host it comes back
+    joined = let(_path_joined(at.path, path), lambda p: F.when((at.netloc != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p))
+    dotted = F.when(here, own).when(relative, F.when(path.rlike(r"^/(?!.*(?://|/\.))[^.]*$"), path).otherwise(joined)).otherwise(path)
     out = Parts(
         scheme,
         F.when(relative, at.netloc).otherwise(link.netloc),

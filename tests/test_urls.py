@@ -117,3 +117,11 @@ def test_absolute_urls(spark):
     rows = spark.createDataFrame([(k, h, p) for k, (h, p) in enumerate(cases)], "k int, href string, page string")
     got = [r.u for r in rows.withColumn("u", urls.absolute(F.col("href"), F.col("page"))).orderBy("k").collect()]
     assert got == [urljoin(p, h) for h, p in cases]
+
+
+def test_dots_above_the_root(spark):
+    cases = [(h, BASE + p) for h in ("../../../up", "../../../../up/x", "/../x", "/../../a/../../b/", "/..//x", "../../../..", "../../../a/..", "https:../../../a?flag#") for p in ("", "p", "d/e/f?x=1", "d/e/")]
+    want = [plainly(*c) for c in cases]
+    assert canonical(spark, cases, LinkRules.at(BASE)) == want and None not in want
+    rows = spark.createDataFrame([(k, h, p) for k, (h, p) in enumerate(cases)], "k int, href string, page string")
+    assert [r.u for r in rows.withColumn("u", urls.absolute(F.col("href"), F.col("page"))).orderBy("k").collect()] == [urljoin(p, h).removesuffix("#") for h, p in cases]
