@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import subprocess
 import sys
 from datetime import date
@@ -102,3 +103,27 @@ def test_stream_follows_batches(spark, tmp_path):
     out = retries.drain(session, retries.retry_states(stream), str(tmp_path))
     got = {(r.url, r.seq): (r.status, r.attempts, str(r.next_attempt_at)) for r in out.collect()}
     assert got == {("a", 1): ("queued", 1, "2024-01-01 00:00:02"), ("a", 2): ("queued", 2, "2024-01-01 00:00:13"), ("b", 1): ("failed", 1, "None"), ("c", 1): ("done", 1, "None")}
+
+
+def test_stream_keeps_each_url_of_a_group(spark, tmp_path, monkeypatch):
+    """A group holds several URLs, over two batches; the states are those of a plain fold."""
+    from crawlloom.streaming import retries
+
+    monkeypatch.setattr(retries, "GROUPS", 3)
+    session = retries.stream_session(spark)
+    r = random.Random(3)
+    rows = [(None if k % 13 == 0 else f"u{r.randrange(30)}", k, r.randrange(40), r.random() < 0.2, r.random() < 0.9) for k in range(160)]
+    schema = "url string, seq long, at string, ok boolean, retryable boolean"
+    for batch in (0, 1):
+        part = [(u, k, f"2024-01-0{1 + batch} 00:00:{at:02}", ok, again) for u, k, at, ok, again in rows if (k >= 80) == batch]
+        session.createDataFrame(part, schema).withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = session.readStream.schema("url string, seq long, at timestamp, ok boolean, retryable boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = retries.drain(session, retries.retry_states(stream), str(tmp_path)).withColumn("wait", F.unix_timestamp("next_attempt_at") - F.unix_timestamp("at")).collect()
+    state, want = {}, {}
+    for u, k, _, ok, again in sorted(rows, key=lambda x: (x[1] >= 80, x[2], x[1])):
+        n, status, _ = state.get(u, (0, "queued", None))
+        if status == "queued":
+            n += 1
+            status = "done" if ok else "queued" if again and n < 3 else "failed"
+        state[u] = want[u, k] = (n, status, {1: 2, 2: 8}[n] if status == "queued" else None)
+    assert {(x.url, x.seq): (x.attempts, x.status, x.wait) for x in out} == want and len(out) == 160
