@@ -4,7 +4,12 @@ Shingles are put in one order for all texts. Two sets of n shingles at similarit
 ceil(4 n / 5) of each one's, so they share one of the first n - ceil(4 n / 5) + 1 of each: the prefix. Texts that share a
 prefix shingle are candidates. What two prefixes share bounds what the sets can share, so most candidates are ruled out,
 exactly, by the prefixes alone; only the whole sets of the rest are compared. Nothing is left out or estimated. Which
-order is taken changes only the cost: shingles that are common in a sample come last, as they join many texts.
+order is taken changes only the cost: common shingles, counted in all texts, come last, as they join many texts.
+
+Pairs of one shingle are told apart before they are made. A pair is taken up at the first shingle that both have, where
+either set goes on for as many shingles as both must share; later ones needn't name it again. And a set has a bit for each remainder of its keys that an odd
+number of them has. Every shingle that only one of two sets has turns one bit, so sets whose bits differ in more than a
+ninth of their sizes' sum can't reach 4/5.
 """
 
 from __future__ import annotations
@@ -19,15 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, trimmed
 
-#: Common shingles are looked for in one text of so many, and in so many texts, about, at least; one is common if that
-#: many of them hold it. A share, so that the texts that an uncommon shingle joins are as few in a large corpus.
-SAMPLE_PART, SAMPLE_DOCS, COMMON = 2, 20_000, 12
+#: A shingle is common if so many texts hold it.
+COMMON = 12
 #: Common shingles that are broadcast at most.
 MOST_COMMON = 1 << 17
 #: Words whose hashes a task keeps at most.
 MOST_WORDS = 1 << 18
 #: Bits of a shingle's key; common shingles have keys above.
 KEY_BITS = 62
+#: Words of 64 bits for the odd remainders of a set.
+ODD = 8
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -83,17 +89,14 @@ def prefix_size(n: int) -> int:
 
 
 def common_shingles(docs: DataFrame, shingle: int, ws: Workspace) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, sorted; the place of each in the order) of the shingles that are common in a sample of the texts."""
-    part = 1 << 20
-    share = max(part // SAMPLE_PART, min(part, part * SAMPLE_DOCS // max(1, docs.count())))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) < share).select("text")
+    """(keys, sorted; the place of each in the order) of the shingles that are common in the texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(keys(hashes(t.as_py(), shingle)))], names=["tok"])
 
-    counts = some.mapInArrow(trimmed(run), "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    counts = docs.select("text").mapInArrow(trimmed(run), "tok long").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     rows = ws.save(counts, "common").orderBy(F.desc("n"), "tok").limit(MOST_COMMON).collect()
     ws.drop("common")
     tok = np.array([r["tok"] for r in reversed(rows)], np.int64)  # the commonest last
@@ -101,6 +104,12 @@ def common_shingles(docs: DataFrame, shingle: int, ws: Workspace) -> tuple[np.nd
     return tok[order], order
 
 
+def odd_bits(own: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of keys by 64 * ODD, set if an odd number of them has it."""
+    counts = np.bincount(own & (64 * ODD - 1), minlength=64 * ODD)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+
+
 def ordered(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Keys with the common ones moved to the end; as numbers they then ascend in the order of all texts."""
     known, place = common
@@ -111,19 +120,21 @@ def ordered(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 def prefixes(docs: DataFrame, shingle: int, fingerprint, ws: Workspace) -> DataFrame:
-    """(doc_id, text_key, node, fp, n, last, prefix) of docs (doc_id, text): a row's set by name and size, its SimHash,
-    and the first of its shingles in the order with the last of these. A set that a task meets again has no prefix."""
+    """(doc_id, text_key, node, fp, n, last, prefix, odd) of docs (doc_id, text): a row's set by name and size, its
+    SimHash, the first of its shingles in the order with the last of these, and its odd_bits. A set that a task meets
+    again has no prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle, ws))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            node, fp, size, last, first = [], [], [], [], []
+            node, fp, size, last, first, odd = [], [], [], [], [], []
             for t in b.column("text"):
                 every = hashes(t.as_py(), shingle)
                 own = keys(every)
                 node.append(name_of(own))
                 fp.append(fingerprint(every))
+                odd.append(odd_bits(own).tobytes())
                 own = ordered(own, shared.value)
                 own, n = own[: prefix_size(len(own))], len(own)
                 size.append(n)
@@ -134,19 +145,24 @@ def prefixes(docs: DataFrame, shingle: int, fingerprint, ws: Workspace) -> DataF
             flat = pa.array(np.concatenate([*(x for x in first if x is not None), np.zeros(0, np.int64)]))
             lists = pa.ListArray.from_arrays(pa.array(offs), flat, mask=pa.array([x is None for x in first], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(last, pa.int64()), lists],
-                names=["doc_id", "text_key", "node", "fp", "n", "last", "prefix"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(last, pa.int64()), lists, pa.array(odd, pa.binary())],
+                names=["doc_id", "text_key", "node", "fp", "n", "last", "prefix", "odd"],
             )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(trimmed(run), "doc_id long, text_key long, node long, fp long, n int, last long, prefix array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, text_key long, node long, fp long, n int, last long, prefix array<long>, odd binary")
+
+
+def _words(bits: pa.Array) -> np.ndarray:
+    """A row of ODD words for each value."""
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, ODD)
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of sorted batches, tok first, cut where no tok goes on."""
     held: list[np.ndarray] | None = None
     for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cols = [_words(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
         cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)] if held else cols
         at = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
         if at:
@@ -157,57 +173,49 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def shared_by_two(posts: DataFrame) -> DataFrame:
-    """Of (tok, node, n), the distinct rows whose tok has others; pivot, pivot_n: the least node of the tok."""
+    """Of (tok, node, n, rest), the distinct rows whose tok has others; pivot, pivot_n: the least node of the tok."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, node, n in _groups(batches):
+        for tok, node, n, rest in _groups(batches):
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-            tok, node, n = tok[new], node[new], n[new]
+            tok, node, n, rest = tok[new], node[new], n[new], rest[new]
             _, first, count = np.unique(tok, return_index=True, return_counts=True)
             head, many = np.repeat(first, count), np.repeat(count, count) > 1
-            cols = [tok, node, n, node[head], n[head]]
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["tok", "node", "n", "pivot", "pivot_n"])
+            cols = [tok, node, n, rest, node[head], n[head]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["tok", "node", "n", "rest", "pivot", "pivot_n"])
 
-    return posts.repartition("tok").sortWithinPartitions("tok", "node").mapInArrow(run, "tok long, node long, n int, pivot long, pivot_n int")
+    return posts.repartition("tok").sortWithinPartitions("tok", "node").mapInArrow(run, "tok long, node long, n int, rest int, pivot long, pivot_n int")
 
 
-def candidates(tok: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one tok in different classes whose sizes allow it, once for each tok. Sorted by tok and n."""
+def candidates(tok: np.ndarray, node: np.ndarray, n: np.ndarray, rest: np.ndarray, comp: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one tok in different classes whose sizes, places of the tok (rest: shingles from it on) and odd
+    bits allow it, once for each tok. Sorted by tok and n."""
     _, first, count = np.unique(tok, return_index=True, return_counts=True)
     mixed = np.repeat(np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first), count)
-    tok, node, n, comp = (x[mixed] for x in (tok, node, n.astype(np.int64), comp))
+    tok, node, n, rest, comp, odd = (x[mixed] for x in (tok, node, n.astype(np.int64), rest.astype(np.int64), comp, odd))
     live, d = np.arange(len(tok)), 0
     while len(live):
         d += 1
         live = live[live + d < len(tok)]
         live = live[(tok[live + d] == tok[live]) & (5 * n[live] >= 4 * n[live + d])]
-        ok = comp[live] != comp[live + d]
-        if ok.any():
-            i, j = live[ok], live[ok] + d
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        i = live[comp[live] != comp[live + d]]
+        i = i[9 * np.minimum(rest[i], rest[i + d]) >= 4 * (n[i] + n[i + d])]
+        apart = np.bitwise_count(odd[i] ^ odd[i + d]).sum(axis=1, dtype=np.int64)
+        i = i[9 * apart <= n[i] + n[i + d]]
+        if len(i):
+            yield np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])
 
 
 def between_classes(posts: DataFrame) -> DataFrame:
-    """(a, b, shared) of (tok, node, n, comp): see candidates; shared counts the toks that both have."""
+    """The distinct (a, b) of (tok, node, n, rest, comp, odd): see candidates."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _groups(batches):
             for a, b in candidates(*cols):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    pairs = posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(run, "a long, b long")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def possible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Those of (a, b, shared) that can reach 4/5, given (node, n, last): what both share beyond the nearer end of the
-    two prefixes lies beyond the prefix of the set that ends there."""
-    x, y = (sizes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("last").alias(f"last{k}")) for k in "ab")
-    rows = pairs.join(x, "a").join(y, "b")
-    rest = lambda n: F.floor((F.col(n) * 4 + 4) / 5) - 1
-    most = F.col("shared") + F.when(F.col("lasta") < F.col("lastb"), rest("na")).when(F.col("lasta") > F.col("lastb"), rest("nb")).otherwise(F.least(rest("na"), rest("nb")))
-    return rows.where(most * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
+    return posts.repartition("tok").sortWithinPartitions("tok", "n").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def by_prefixes(pairs: DataFrame, own: DataFrame, ws: Workspace, name: str) -> DataFrame:

@@ -267,10 +267,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, budget: int = 4, name: str =
     ws = Workspace(docs.sparkSession, name)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     own = ws.save(jaccard.prefixes(docs, shingle, majority, ws), "prefixes")
-    posts = own.where("prefix is not null").select(F.explode("prefix").alias("tok"), "node", "n")
+    posts = own.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "tok"), "node", "n").select("tok", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
     posts = ws.save(jaccard.shared_by_two(posts), "posts")
     ws.release()
-    nodes = ws.save(own.groupBy("node").agg(jaccard.least_row().alias("least"), F.min("n").alias("n"), F.min("last").alias("last"), F.min("fp").alias("fp")), "nodes")
+    nodes = ws.save(own.groupBy("node").agg(jaccard.least_row().alias("least"), F.min("n").alias("n"), F.min("last").alias("last"), F.min("fp").alias("fp"), F.min("odd").alias("odd")), "nodes")
     fps = ws.save(nodes.groupBy("fp").agg(F.min("node").alias("first")), "distinct")
     alike = (F.least("n", "pivot_n") * 5 >= F.greatest("n", "pivot_n") * 4) & (F.col("node") != F.col("pivot"))
     one = posts.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
@@ -282,10 +282,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, budget: int = 4, name: str =
     links_1 = ws.save(jaccard.similar(one, nodes, docs, shingle, ws, "1"), "links-1")
     ws.drop("blocks", "pairs-1", "1-nodes", "1-prefixes", "1-ids", "1-sets")
     classes = components(ws, links_1, "cc-1")
-    posts = posts.join(classes, "node", "left").select("tok", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    two = jaccard.possible(ws.save(jaccard.between_classes(posts), "pairs-2"), nodes).join(one, ["a", "b"], "left_anti")
-    two = ws.save(two, "likely-2")
-    ws.drop("posts", "pairs-2")
+    classes = ws.save(nodes.join(classes, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "odd"), "classes-1")
+    posts = posts.select("tok", "node", "n", "rest").join(classes, "node").select("tok", "node", "n", "rest", "comp", "odd")
+    two = ws.save(ws.save(jaccard.between_classes(posts), "pairs-2").join(one, ["a", "b"], "left_anti"), "new-2")
+    two = ws.save(jaccard.by_prefixes(two, own, ws, "2"), "likely-2")
+    ws.drop("posts", "pairs-2", "new-2", "classes-1", "2-nodes", "2-prefixes")
     links = ws.save(links_1.union(jaccard.similar(two, nodes, docs, shingle, ws, "2")), "links-2")
     ws.drop("2-ids", "2-sets")
     ws.release()

@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from crawlloom.llm import jaccard, simhash
+from crawlloom.llm.common import Workspace
 from tests.llm.test_dedup import LOWER, table, words
 
 
@@ -52,3 +55,23 @@ def test_stage_against_brute_force(spark, sf_dir):
     rows = sorted((x.doc_id, x.text) for x in docs.collect())
     kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()}
     assert kept == {c for _, c in brute_force(rows)} and 1 in kept and 177 not in kept
+
+
+def test_sets_too_far_apart_make_no_pairs():
+    """A group that shares a third of its shingles, all in one tok, makes no pair; sets that are alike all do."""
+    r = np.random.default_rng(5)
+    for shared, pairs in ((30, 0), (97, 40 * 39 // 2)):
+        sets = [np.unique(np.concatenate([np.arange(shared) * 7919, r.integers(1 << 20, 1 << jaccard.KEY_BITS, 100 - shared)])) for _ in range(40)]
+        similar = sum(9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)) for k, x in enumerate(sets) for y in sets[:k])
+        odd = np.array([jaccard.odd_bits(x) for x in sets])
+        made = jaccard.candidates(np.ones(40, np.int64), np.arange(40), np.full(40, 100), np.full(40, 100), np.arange(40), odd)
+        assert sum(len(a) for a, _ in made) == similar == pairs
+
+
+def test_common_shingles_are_counted_in_all_texts(spark):
+    rows = [(k, f"{'abc'[k % 3]} b c d e x{k}") for k in range(36)]
+    docs = table(spark, rows).select("doc_id", "text")
+    ws = Workspace(spark, "test-common")
+    known, place = jaccard.common_shingles(docs, 5, ws)
+    want = {int(jaccard.keys(jaccard.hashes(f"{x} b c d e"))[0]) for x in "abc"}
+    assert set(known.tolist()) == want and sorted(place.tolist()) == [0, 1, 2]
